@@ -29,6 +29,15 @@ _FAR_DEN = [1.0, 2.56852019228982242e0, 1.87295284992346725e0, 5.279051029514284
             6.05183413124413191e-2, 2.33520497626869185e-3]
 
 
+def let(value: Column, fn) -> Column:
+    """fn(value) with ``value`` evaluated once, however often fn uses it.
+
+    Nested formulas would otherwise repeat their argument at every use, and
+    predicates pushed through them would multiply it again.
+    """
+    return F.transform(F.array(value), fn)[0]
+
+
 def _horner(x: Column, coefficients: list[float]) -> Column:
     total = F.lit(coefficients[0])
     for c in coefficients[1:]:
@@ -51,7 +60,7 @@ def erfc(x: Column) -> Column:
 
 def normal_tail(z: Column) -> Column:
     """P(Z > z) for a standard normal Z."""
-    return F.lit(0.5) * erfc(z / F.lit(math.sqrt(2.0)))
+    return let(z / F.lit(math.sqrt(2.0)), lambda x: F.lit(0.5) * erfc(x))
 
 
 def normal_cdf(z: Column) -> Column:
@@ -64,6 +73,11 @@ def chi2_tail(h: Column, df: Column) -> Column:
     Both parities are a finite series: even df starts from exp(-h/2), odd df
     from the normal tail; terms follow by multiplying with (h/2)/(i + offset).
     """
+    return let(F.struct(h.cast("double").alias("h"), df.cast("int").alias("df")),
+               lambda s: _chi2_series(s["h"], s["df"]))
+
+
+def _chi2_series(h: Column, df: Column) -> Column:
     half = h / 2.0
     even = df % 2 == 0
     offset = F.when(even, F.lit(0.0)).otherwise(F.lit(0.5))

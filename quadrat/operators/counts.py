@@ -8,6 +8,10 @@ sorted only within (group, bucket); a small table of bucket totals supplies what
 lies below each bucket. A group that holds a third of all rows is thus spread
 over as many tasks as it has buckets, and the ranks are exact.
 
+The distinct values are written once before they are ranked: ranks and bucket
+totals must see the same bits, and a recomputed floating-point sum may differ in
+its last one. Weighted input counts as written already.
+
 Key columns must not be null: label missing categories first.
 """
 
@@ -19,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from quadrat.storage import settle
+
 BUCKETS_PER_OCTAVE = 1024
 _CENTRE = 2_000_000  # larger than 1075 * BUCKETS_PER_OCTAVE: keeps codes of one sign apart
 _FAR = 5_000_000
@@ -33,12 +39,13 @@ def value_bucket(v: Column) -> Column:
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str,
-                 weight: str | None = None) -> DataFrame:
+                 weight: str | None = None, written: bool = False) -> DataFrame:
     """Distinct values per key with their number ``n``; null and NaN are left out."""
     v = F.col(value).cast("double")
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    return (df.filter(v.isNotNull() & ~F.isnan(v))
-            .groupBy(*keys, v.alias(value)).agg(n.cast("bigint").alias("n")))
+    out = (df.filter(v.isNotNull() & ~F.isnan(v))
+           .groupBy(*keys, v.alias(value)).agg(n.cast("bigint").alias("n")))
+    return settle(out, "values") if weight is None and not written else out
 
 
 def positions(counts: DataFrame, keys: Sequence[str], value: str, n: str = "n") -> DataFrame:
