@@ -52,11 +52,8 @@ def _(spark, sf):
 
 @query("complete_linkage_by_slice")
 def _(spark, sf):
-    dist = distance.bray_curtis(abundance(spark, sf))
-    who = samples(spark, sf).select("sample", "grp")
-    inside = (dist.join(who.withColumnRenamed("sample", "a"), "a")
-              .join(who.withColumnsRenamed({"sample": "b", "grp": "_g"}), "b").filter("grp = _g"))
-    return clustering.complete_linkage(inside.select("grp", "a", "b", "d"), "grp")
+    ab = abundance(spark, sf).join(samples(spark, sf).select("sample", "grp"), "sample")
+    return clustering.complete_linkage(distance.bray_curtis(ab, split="grp"), "grp")
 
 
 _SETS = """words AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w FROM documents),

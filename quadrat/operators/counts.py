@@ -49,10 +49,10 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str,
 
 
 def positions(counts: DataFrame, keys: Sequence[str], value: str, n: str = "n") -> DataFrame:
-    """Add ``below``, ``ties`` and ``total`` to weighted values.
+    """Add ``_below``, ``_ties`` and ``_total`` to weighted values.
 
-    ``below`` is the weight of strictly smaller values of the key, ``ties`` the
-    weight of equal ones (over all rows with that value), ``total`` the weight
+    ``_below`` is the weight of strictly smaller values of the key, ``_ties`` the
+    weight of equal ones (over all rows with that value), ``_total`` the weight
     of the key.
     """
     keys = list(keys)
@@ -65,15 +65,15 @@ def positions(counts: DataFrame, keys: Sequence[str], value: str, n: str = "n")
     offsets = totals.select(
         *keys, "_bucket",
         (F.sum("_in").over(of_key.orderBy("_bucket")) - F.col("_in")).alias("_offset"),
-        F.sum("_in").over(of_key).alias("total"),
+        F.sum("_in").over(of_key).alias("_total"),
     )
-    return (rows.withColumns({"ties": equal, "_upto": upto})
+    return (rows.withColumns({"_ties": equal, "_upto": upto})
             .join(offsets, [*keys, "_bucket"])
-            .withColumn("below", F.col("_offset") + F.col("_upto") - F.col("ties"))
+            .withColumn("_below", F.col("_offset") + F.col("_upto") - F.col("_ties"))
             .drop("_offset", "_upto", "_bucket"))
 
 
-def midrank(below: str = "below", ties: str = "ties") -> Column:
+def midrank(below: str = "_below", ties: str = "_ties") -> Column:
     return F.col(below) + (F.col(ties) + 1) / F.lit(2.0)
 
 
@@ -83,14 +83,14 @@ def exact_quantiles(counts: DataFrame, keys: Sequence[str], value: str,
     placed = positions(counts, keys, value, n)
     aggs = []
     for name, p in probs.items():
-        h = (F.col("total") - 1) * F.lit(float(p))
+        h = (F.col("_total") - 1) * F.lit(float(p))
         low = F.floor(h)
-        high = F.least(low + 1, F.col("total") - 1)
-        at = lambda r: F.max(F.when((F.col("below") <= r) & (r < F.col("below") + F.col("ties")),
+        high = F.least(low + 1, F.col("_total") - 1)
+        at = lambda r: F.max(F.when((F.col("_below") <= r) & (r < F.col("_below") + F.col("_ties")),
                                     F.col(value)))
         aggs += [at(low).alias(f"_lo_{name}"), at(high).alias(f"_hi_{name}"),
                  F.max(h - low).alias(f"_fr_{name}")]
-    out = placed.groupBy(*keys).agg(*aggs, F.max("total").alias("n"))
+    out = placed.groupBy(*keys).agg(*aggs, F.max("_total").alias("n"))
     return out.select(*keys, "n", *[
         (F.col(f"_lo_{k}") + F.col(f"_fr_{k}") * (F.col(f"_hi_{k}") - F.col(f"_lo_{k}"))).alias(k)
         for k in probs])

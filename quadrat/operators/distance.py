@@ -38,7 +38,7 @@ def _squared_difference(x, y):
     return np.stack([np.square(row - y).sum(axis=1) for row in x])
 
 
-def _tile(kind: str):
+def _tile(kind: str, split: str | None):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["_i"].iloc[0], pdf["_j"].iloc[0]
         codes, names = pd.factorize(pdf["sample"], sort=True)
@@ -75,17 +75,20 @@ def _tile(kind: str):
         keep = (a < b) if i == j else np.ones_like(a, dtype=bool)
         first, second = np.minimum(a, b)[keep], np.maximum(a, b)[keep]  # codes follow name order
         total = weight[first] + weight[second] if kind == "bray" else np.zeros(len(first))
-        return pd.DataFrame({"a": np.asarray(names)[first], "b": np.asarray(names)[second],
-                             "part": part[keep], "total": total})
+        out = pd.DataFrame({"a": np.asarray(names)[first], "b": np.asarray(names)[second],
+                            "part": part[keep], "total": total})
+        return out.assign(**{split: pdf["_slice"].iloc[0]}) if split else out
     return run
 
 
-def _pair_sums(ab: DataFrame, kind: str, block: int, cells: int) -> DataFrame:
-    ab = ab.select("sample", "feature", F.col("value").cast("double").alias("value"))
+def _pair_sums(ab: DataFrame, kind: str, split: str | None, block: int, cells: int) -> DataFrame:
+    slice_of = F.col(split) if split else F.lit(0)
+    ab = ab.select(slice_of.alias("_slice"), "sample", "feature", F.col("value").cast("double").alias("value"))
     if kind == "bray":
         ab = ab.filter(F.col("value").isNotNull())
-    size = (ab.groupBy("sample").agg(F.count(F.lit(1)).alias("k"))
-            .agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k"))).head()
+    size = (ab.groupBy("_slice", "sample").agg(F.count(F.lit(1)).alias("k"))
+            .groupBy("_slice").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k"))
+            .agg(F.max("n").alias("n"), F.max("k").alias("k"))).head()
     n, longest = size["n"] or 0, size["k"] or 1
     blocks = max(1, math.ceil(n / block))
     cuts = max(1, math.ceil(2.0 * block * longest / cells))
@@ -94,35 +97,42 @@ def _pair_sums(ab: DataFrame, kind: str, block: int, cells: int) -> DataFrame:
                            "_cut": F.pmod(F.xxhash64(F.col("feature").cast("string")),
                                           F.lit(cuts)).cast("int")})
     if cuts > 1:  # every sample takes part in every cut, also where it has no feature
-        roster = rows.select("sample", "_block").distinct().select(
-            "sample", F.lit(None).cast(ab.schema["feature"].dataType).alias("feature"),
+        roster = rows.select("_slice", "sample", "_block").distinct().select(
+            "_slice", "sample", F.lit(None).cast(ab.schema["feature"].dataType).alias("feature"),
             F.lit(0.0).alias("value"), "_block",
             F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))).alias("_cut"))
         rows = rows.unionByName(roster)
     tiles = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(
         F.least(k, F.col("_block")).alias("_i"), F.greatest(k, F.col("_block")).alias("_j")))
-    rows = rows.select("sample", "feature", "value", "_block", "_cut", F.inline(tiles))
-    kind_of = ab.schema["sample"].dataType.simpleString()
-    sums = rows.groupBy("_i", "_j", "_cut").applyInPandas(
-        _tile(kind), f"a {kind_of}, b {kind_of}, part double, total double")
+    rows = rows.select("_slice", "sample", "feature", "value", "_block", "_cut", F.inline(tiles))
+    kind_of = lambda c: ab.schema[c].dataType.simpleString()
+    schema = f"a {kind_of('sample')}, b {kind_of('sample')}, part double, total double"
+    if split:
+        schema += f", {split} {kind_of('_slice')}"
+    sums = rows.groupBy("_slice", "_i", "_j", "_cut").applyInPandas(_tile(kind, split), schema)
     if cuts > 1:
-        sums = sums.groupBy("a", "b").agg(F.sum("part").alias("part"), F.sum("total").alias("total"))
+        keys = [split, "a", "b"] if split else ["a", "b"]
+        sums = sums.groupBy(*keys).agg(F.sum("part").alias("part"), F.sum("total").alias("total"))
     return sums
 
 
-def bray_curtis(ab: DataFrame, block: int = BLOCK, cells: int = CELLS) -> DataFrame:
+def bray_curtis(ab: DataFrame, split: str | None = None, block: int = BLOCK,
+                cells: int = CELLS) -> DataFrame:
     """Bray-Curtis dissimilarity of all pairs, 1 - 2 sum(min) / (total_a + total_b).
 
     Takes one non-negative row per (sample, feature); disjoint samples get 1, two
-    empty samples get null.
+    empty samples get null. With ``split`` only pairs within a slice are formed.
     """
     d = F.lit(1.0) - ratio(2.0 * F.col("part"), F.col("total"))
-    return _pair_sums(ab, "bray", block, cells).select("a", "b", d.alias("d"))
+    keys = [split] if split else []
+    return _pair_sums(ab, "bray", split, block, cells).select(*keys, "a", "b", d.alias("d"))
 
 
-def euclidean(ab: DataFrame, block: int = BLOCK, cells: int = CELLS) -> DataFrame:
+def euclidean(ab: DataFrame, split: str | None = None, block: int = BLOCK,
+              cells: int = CELLS) -> DataFrame:
     """Euclidean distance of all pairs of samples; absent cells are zero."""
-    return _pair_sums(ab, "euclid", block, cells).select("a", "b", F.sqrt("part").alias("d"))
+    keys = [split] if split else []
+    return _pair_sums(ab, "euclid", split, block, cells).select(*keys, "a", "b", F.sqrt("part").alias("d"))
 
 
 def transpose(ab: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def p_adjust(df: DataFrame, p: str = "p", method: str = "BH", family: Sequence[s
 
     df = settle(df, "tests")
     placed = positions(value_counts(df, family, p, written=True), family, p)
-    q = (placed.withColumn("_q", F.col("total") * F.col(p) / (F.col("below") + F.col("ties")))
+    q = (placed.withColumn("_q", F.col("_total") * F.col(p) / (F.col("_below") + F.col("_ties")))
          .withColumn("_bucket", value_bucket(F.col(p))))
     of_family = Window.partitionBy(*family) if family else Window.partitionBy(F.lit(0))
     later = of_family.orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)

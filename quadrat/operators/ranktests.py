@@ -66,7 +66,7 @@ def kruskal(df: DataFrame, keys: Sequence[str], value: str, group: str,
     """
     keys = list(keys)
     placed = positions(group_counts(df, keys, value, group, weight), keys, value)
-    t = F.col("ties").cast("double")
+    t = F.col("_ties").cast("double")
     per_group = placed.groupBy(*keys, group).agg(
         F.sum(F.col("n") * midrank()).alias("_r"), F.sum("n").alias("_n"),
         F.sum(F.col("n") * (t * t - 1.0)).alias("_t"))
@@ -140,7 +140,7 @@ def rank_sum(df: DataFrame, keys: Sequence[str], value: str, group: str, pairs="
         f"{group} {kind}, _first boolean, group1 {kind}, group2 {kind}")
     counts = group_counts(df, keys, value, group, weight).join(sides, group)
     test = [*keys, "group1", "group2"]
-    t = F.col("ties").cast("double")
+    t = F.col("_ties").cast("double")
     first = F.col("_first")
     sums = positions(counts, test, value).groupBy(*test).agg(
         F.sum(F.when(first, F.col("n") * midrank())).alias("_r"),

@@ -85,10 +85,19 @@ def write_clusters(clusters: DataFrame, path: str) -> None:
     write_table(clusters.select("representative", "member"), path, sep="\t", header=False)
 
 
-def write_representatives(sequences: DataFrame, representatives: DataFrame, path: str) -> None:
-    """Sequences of the representatives only, one folder per genome."""
-    (sequences.join(representatives, "genome", "left_semi")
-     .write.partitionBy("genome").parquet(path))
+def write_representatives(sequences: DataFrame, representatives: DataFrame, path: str,
+                          shelves: int | None = None) -> None:
+    """Sequences of the representatives only, one folder per genome.
+
+    With many genomes give a number of ``shelves``: genomes are then spread over that
+    many folders by hash, and ``genome`` stays a column.
+    """
+    kept = sequences.join(representatives, "genome", "left_semi")
+    if shelves is None:
+        kept.repartition("genome").write.partitionBy("genome").parquet(path)
+    else:
+        shelf = F.pmod(F.xxhash64("genome"), F.lit(shelves)).cast("int")
+        kept.withColumn("shelf", shelf).repartition("shelf").write.partitionBy("shelf").parquet(path)
 
 
 def write_tables(tables: Mapping[str, DataFrame], folder: str) -> None:
