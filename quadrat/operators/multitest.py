@@ -25,15 +25,14 @@ def p_adjust(df: DataFrame, p: str = "p", method: str = "BH", family: Sequence[s
     if method == "none":
         return df.withColumn(out, F.col(p))
     if method == "bonferroni":
+        def capped(n):  # least() would pass over a null p
+            return F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col(p) * n))
         if bounded:
-            n = F.count(p).over(Window.partitionBy(*family))
-            return df.withColumn(out, F.least(F.lit(1.0), F.col(p) * n))
+            return df.withColumn(out, capped(F.count(p).over(Window.partitionBy(*family))))
         if not family:
-            n = df.agg(F.count(p)).scalar()
-            return df.withColumn(out, F.least(F.lit(1.0), F.col(p) * n))
+            return df.withColumn(out, capped(df.agg(F.count(p)).scalar()))
         sizes = df.groupBy(*family).agg(F.count(p).alias("_n"))
-        return (df.join(sizes, family)
-                .withColumn(out, F.least(F.lit(1.0), F.col(p) * F.col("_n"))).drop("_n"))
+        return df.join(sizes, family).withColumn(out, capped(F.col("_n"))).drop("_n")
     if method not in ("BH", "fdr"):
         raise ValueError(f"unknown correction {method!r}")
 

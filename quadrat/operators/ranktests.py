@@ -8,6 +8,7 @@ rows per sample.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,9 @@ from quadrat.operators.multitest import p_adjust
 from quadrat.storage import settle
 
 EXACT_BELOW = 50
+SHIFT_CELLS = 4_000_000
+_TRIALS = 15          # trial values per bracket and round
+_SEARCH_ROUNDS = 12   # 16^12 > 2^47: brackets end at the precision of the values
 _MAX_LEVELS = 1000
 
 
@@ -130,7 +134,7 @@ def rank_sum(df: DataFrame, keys: Sequence[str], value: str, group: str, pairs="
     is also what ``alternative`` refers to. ``exact="auto"`` uses the exact null
     distribution for fewer than 50 untied values on both sides, else the normal
     approximation with continuity correction. ``detailed`` adds ``estimate,
-    conf_low, conf_high`` (location shift) to the exact tests.
+    conf_low, conf_high`` (location shift).
     """
     keys = list(keys)
     wanted = level_pairs(df, group, pairs, levels)
@@ -162,7 +166,7 @@ def rank_sum(df: DataFrame, keys: Sequence[str], value: str, group: str, pairs="
     use_exact = {"auto": small, True: F.col("_t") == 0, False: F.lit(False)}[exact]
     out = (sums.withColumns({"statistic": u, "_sigma": sigma})
            .withColumns({"_z": z, "method": F.when(use_exact, "exact").otherwise("normal")})
-           .withColumn("p", tail))
+           .withColumn("p", F.when(F.col("_z").isNotNull(), tail)))
     if exact is not False:
         is_exact = F.col("method") == "exact"
         grid = out.filter(is_exact).select("m", "k").distinct()
@@ -176,44 +180,106 @@ def rank_sum(df: DataFrame, keys: Sequence[str], value: str, group: str, pairs="
                .join(null, ["m", "k", "_u"], "left")
                .withColumn("p", F.when(is_exact, sided).otherwise(F.col("p"))))
     columns = [*test, F.col("m").alias("n1"), F.col("k").alias("n2"), "statistic", "p", "method"]
-    out = out.select(*columns)
+    if not detailed:
+        out = out.select(*columns)
+        return p_adjust(out, "p", correction, keys, bounded=True) if correction else out
+    out = settle(out.select(*columns, "_sigma"), "tests")
+    shift = location_shift(counts, out, test, value, alternative, confidence)
     if correction:
         out = p_adjust(out, "p", correction, keys, bounded=True)
-    if detailed:
-        out = out.join(_location_shift(counts, out, test, value, alternative, confidence),
-                       test, "left")
-    return out
+    return out.drop("_sigma").join(shift, test, "left")
 
 
-def _location_shift(counts, tests, test, value, alternative, confidence):
-    """Median and confidence limits of the pairwise differences of exact tests.
+_STATISTICS = ("_mid1", "_mid2", "_low", "_high")
 
-    An exact test has fewer than 50 values a side, so a row holds at most 49 x 49
-    differences.
+
+def location_shift(counts: DataFrame, tests: DataFrame, test: Sequence[str], value: str,
+                   alternative: str, confidence: float) -> DataFrame:
+    """Median and confidence limits of all differences x - y of every test.
+
+    The limits are the order statistics q and mn + 1 - q of the differences; q comes from
+    the exact null distribution or its normal approximation. The differences of a
+    test with few distinct values are formed in one task (at most ``SHIFT_CELLS`` of
+    them). A larger test never forms them: its order statistics are found by
+    counting how many differences lie below trial values.
     """
-    exact = tests.filter(F.col("method") == "exact").select(*test, "n1", "n2")
-    sides = counts.join(exact, test).groupBy(*test, "n1", "n2").agg(
-        F.collect_list(F.when(F.col("_first"), F.col(value))).alias("_x"),
-        F.collect_list(F.when(~F.col("_first"), F.col(value))).alias("_y"))
-    differences = F.array_sort(F.flatten(F.transform(
-        "_x", lambda x: F.transform("_y", lambda y: x - y))))
     alpha = (1 - confidence) / (2 if alternative == "two.sided" else 1)
 
     def critical(pdf: pd.DataFrame) -> pd.DataFrame:
         m, n = int(pdf["n1"].iloc[0]), int(pdf["n2"].iloc[0])
-        q = int(np.searchsorted(rank_sum_null(m, n), alpha))
-        return pd.DataFrame({"n1": [m], "n2": [n], "_q": [max(q, 1)]})
-
-    limits = exact.select("n1", "n2").distinct().groupBy("n1", "n2").applyInPandas(
-        critical, "n1 bigint, n2 bigint, _q int")
-    rows = sides.withColumn("_d", differences).join(limits, ["n1", "n2"])
-    count = F.size("_d")
-    middle = (F.element_at("_d", F.floor((count + 1) / 2).cast("int"))
-              + F.element_at("_d", F.floor((count + 2) / 2).cast("int"))) / 2.0
-    low = F.element_at("_d", F.col("_q"))
-    high = F.element_at("_d", count - F.col("_q") + 1)
-    infinite = F.lit(float("inf"))
-    return rows.select(
-        *test, middle.alias("estimate"),
-        (-infinite if alternative == "less" else low).alias("conf_low"),
-        (infinite if alternative == "greater" else high).alias("conf_high"))
+        return pd.DataFrame({"n1": [m], "n2": [n], "_q": [int(np.searchsorted(rank_sum_null(m, n), alpha))]})
+
+    is_exact = F.col("method") == "exact"
+    limits = tests.filter(is_exact).select("n1", "n2").distinct().groupBy("n1", "n2").applyInPandas(
+        critical, "n1 bigint, n2 bigint, _q bigint")
+    pairs = F.col("n1") * F.col("n2")
+    approx = F.floor(pairs / 2.0 - F.lit(NormalDist().inv_cdf(1 - alpha)) * F.col("_sigma"))
+    q = F.greatest(F.lit(1), F.when(is_exact, F.col("_q")).otherwise(approx))
+    distinct = counts.groupBy(*test).agg(F.sum(F.col("_first").cast("bigint")).alias("_dx"),
+                                         F.sum((~F.col("_first")).cast("bigint")).alias("_dy"))
+    ranks = tests.join(limits, ["n1", "n2"], "left").join(distinct, list(test)).select(
+        *test, pairs.alias("_pairs"), F.floor((pairs + 1) / 2).alias("_mid1"),
+        F.floor((pairs + 2) / 2).alias("_mid2"), q.alias("_low"), (pairs + 1 - q).alias("_high"),
+        (F.col("_dx") * F.col("_dy") <= SHIFT_CELLS).alias("_small"))
+    ranks = settle(ranks, "ranks")
+    rows = counts.join(ranks, list(test))
+    kinds = ", ".join(f"`{c}` {counts.schema[c].dataType.simpleString()}" for c in test)
+    found = rows.filter("_small").groupBy(*test).applyInPandas(
+        _order_statistics(list(test), value), kinds + ", " + ", ".join(f"{c} double" for c in _STATISTICS))
+    if ranks.filter("NOT _small").head(1):
+        found = found.unionByName(_searched_statistics(rows.filter("NOT _small"), list(test), value))
+    endless = F.lit(float("inf"))
+    return found.select(
+        *test, ((F.col("_mid1") + F.col("_mid2")) / 2.0).alias("estimate"),
+        (-endless if alternative == "less" else F.col("_low")).alias("conf_low"),
+        (endless if alternative == "greater" else F.col("_high")).alias("conf_high"))
+
+
+def _order_statistics(test: list[str], value: str):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["_first"]], pdf[~pdf["_first"]]
+        d = np.subtract.outer(x[value].to_numpy(), y[value].to_numpy()).ravel()
+        w = np.multiply.outer(x["n"].to_numpy(), y["n"].to_numpy()).ravel()
+        order = np.argsort(d)
+        upto = np.cumsum(w[order])
+        row = pdf.iloc[0]
+        out = {c: [row[c]] for c in test}
+        for s in _STATISTICS:
+            out[s] = [d[order[np.searchsorted(upto, row[s])]]]
+        return pd.DataFrame(out)
+    return run
+
+
+def _searched_statistics(rows: DataFrame, test: list[str], value: str) -> DataFrame:
+    """Order statistics of the differences by trial values, for all tests and ranks at once.
+
+    Every round counts, for a few trial shifts t per bracket, the pairs with x - y <= t:
+    y is ranked against x - t with y alone carrying weight.
+    """
+    rows = settle(rows.select(*test, value, "n", "_first", "_pairs", *_STATISTICS), "large")
+    x = F.col("_first")
+    edges = rows.groupBy(*test, "_pairs", *_STATISTICS).agg(
+        (F.min(F.when(x, F.col(value))) - F.max(F.when(~x, F.col(value)))).alias("_lo"),
+        (F.max(F.when(x, F.col(value))) - F.min(F.when(~x, F.col(value)))).alias("_hi"))
+    goals = F.array(*[F.struct(F.lit(s).alias("_goal"), F.col(s).alias("_rank")) for s in _STATISTICS])
+    width = F.col("_hi") - F.col("_lo")
+    state = edges.select(*test, "_pairs", "_lo", "_hi", F.inline(goals)).select(
+        *test, "_pairs", "_goal", "_rank", (F.col("_lo") - width * 1e-9 - 1e-300).alias("_lo"), "_hi")
+    state = settle(state, "brackets")
+    for _ in range(_SEARCH_ROUNDS):
+        trial = state.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(_TRIALS)))).withColumn(
+            "_t", F.col("_lo") + width * F.col("_i") / F.lit(_TRIALS + 1.0))
+        met = rows.select(*test, value, "n", "_first").join(
+            trial.select(*test, "_goal", "_i", "_t"), test).select(
+            *test, "_goal", "_i",
+            F.when(x, F.col(value) - F.col("_t")).otherwise(F.col(value)).alias("_v"),
+            F.when(x, 0).otherwise(F.col("n")).alias("_w"), F.when(x, F.col("n")).otherwise(0).alias("_x"))
+        above = positions(met, [*test, "_goal", "_i"], "_v", "_w").groupBy(*test, "_goal", "_i").agg(
+            F.sum(F.col("_x") * F.col("_below")).alias("_above"))
+        reached = F.col("_pairs") - F.col("_above") >= F.col("_rank")
+        state = settle(trial.join(above, [*test, "_goal", "_i"]).groupBy(
+            *test, "_pairs", "_goal", "_rank").agg(
+            F.coalesce(F.max(F.when(~reached, F.col("_t"))), F.first("_lo")).alias("_lo"),
+            F.coalesce(F.min(F.when(reached, F.col("_t"))), F.first("_hi")).alias("_hi")), "brackets")
+    return state.groupBy(*test).agg(*[
+        F.max(F.when(F.col("_goal") == s, F.col("_hi"))).alias(s) for s in _STATISTICS])
