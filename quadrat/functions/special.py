@@ -1,8 +1,7 @@
 """Tail probabilities as Column expressions.
 
 Spark SQL has no error function, so ``erfc`` is the three-range rational
-approximation of W. J. Cody (Math. Comp. 23, 1969), written with arithmetic
-that stays inside generated code.
+approximation of W. J. Cody (Math. Comp. 23, 1969), written as expression text.
 """
 
 from __future__ import annotations
@@ -33,34 +32,41 @@ def let(value: Column, fn) -> Column:
     """fn(value) with ``value`` evaluated once, however often fn uses it.
 
     Nested formulas would otherwise repeat their argument at every use, and
-    predicates pushed through them would multiply it again.
+    predicates pushed through them would multiply it again. ``fn`` is a Python function
+    of a Column or the text of an expression in ``x``.
     """
+    if isinstance(fn, str):
+        return F.call_function("transform", F.array(value), F.expr(f"x -> {fn}"))[0]
     return F.transform(F.array(value), fn)[0]
 
 
-def _horner(x: Column, coefficients: list[float]) -> Column:
-    total = F.lit(coefficients[0])
+def _horner(x: str, coefficients: list[float]) -> str:
+    text = f"{coefficients[0]!r}D"
     for c in coefficients[1:]:
-        total = total * x + F.lit(c)
-    return total
+        text = f"({text} * {x} + {c!r}D)"
+    return text
+
+
+def _erfc_text(x: str) -> str:
+    y, y2 = f"abs({x})", f"({x} * {x})"
+    inverse = f"(1D / {y2})"
+    near = f"1D - {x} * {_horner(y2, _NEAR_NUM)} / {_horner(y2, _NEAR_DEN)}"
+    mid = f"exp(-{y2}) * {_horner(y, _MID_NUM)} / {_horner(y, _MID_DEN)}"
+    far = (f"exp(-{y2}) / {y} * ({1 / math.sqrt(math.pi)!r}D"
+           f" - {inverse} * {_horner(inverse, _FAR_NUM)} / {_horner(inverse, _FAR_DEN)})")
+    upper = f"CASE WHEN {y} <= 4D THEN {mid} WHEN {y} < 27D THEN {far} ELSE 0D END"
+    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN {y} <= 0.46875D THEN {near} "
+            f"WHEN {x} < 0D THEN 2D - ({upper}) ELSE {upper} END")
 
 
 def erfc(x: Column) -> Column:
     """Complementary error function."""
-    y = F.abs(x)
-    y2 = y * y
-    near = F.lit(1.0) - x * _horner(y2, _NEAR_NUM) / _horner(y2, _NEAR_DEN)
-    mid = F.exp(-y2) * _horner(y, _MID_NUM) / _horner(y, _MID_DEN)
-    inv = F.lit(1.0) / y2
-    far = F.exp(-y2) / y * (F.lit(1 / math.sqrt(math.pi))
-                            - inv * _horner(inv, _FAR_NUM) / _horner(inv, _FAR_DEN))
-    upper = F.when(y <= 4.0, mid).when(y < 27.0, far).otherwise(0.0)
-    return F.when(y <= 0.46875, near).when(x < 0, F.lit(2.0) - upper).otherwise(upper)
+    return let(x.cast("double"), _erfc_text("x"))
 
 
 def normal_tail(z: Column) -> Column:
     """P(Z > z) for a standard normal Z."""
-    return let(z / F.lit(math.sqrt(2.0)), lambda x: F.lit(0.5) * erfc(x))
+    return let(z / F.lit(math.sqrt(2.0)), f"0.5D * ({_erfc_text('x')})")
 
 
 def normal_cdf(z: Column) -> Column:
@@ -73,26 +79,13 @@ def chi2_tail(h: Column, df: Column) -> Column:
     Both parities are a finite series: even df starts from exp(-h/2), odd df
     from the normal tail; terms follow by multiplying with (h/2)/(i + offset).
     """
-    return let(F.struct(h.cast("double").alias("h"), df.cast("int").alias("df")),
-               lambda s: _chi2_series(s["h"], s["df"]))
-
-
-def _chi2_series(h: Column, df: Column) -> Column:
-    half = h / 2.0
-    even = df % 2 == 0
-    offset = F.when(even, F.lit(0.0)).otherwise(F.lit(0.5))
-    terms = F.floor(df / 2).cast("int")
-    first = F.exp(-half) * F.when(even, F.lit(1.0)).otherwise(
-        F.sqrt(half) * F.lit(2 / math.sqrt(math.pi)))
-    start = F.struct(first.alias("term"), F.lit(0.0).alias("total"))
-    series = F.aggregate(
-        F.when(terms >= 1, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>")),
-        start,
-        lambda acc, i: F.struct(
-            (acc["term"] * half / (i.cast("double") + offset)).alias("term"),
-            (acc["total"] + acc["term"]).alias("total"),
-        ),
-        lambda acc: acc["total"],
-    )
-    base = F.when(even, F.lit(0.0)).otherwise(erfc(F.sqrt(half)))
-    return F.when((df >= 1) & (h >= 0), F.least(F.lit(1.0), base + series))
+    half, even = "(x.h / 2D)", "x.df % 2 = 0"
+    offset = f"IF({even}, 0D, 0.5D)"
+    first = f"exp(-{half}) * IF({even}, 1D, sqrt({half}) * {2 / math.sqrt(math.pi)!r}D)"
+    steps = "IF(x.df >= 2, sequence(1, CAST(floor(x.df / 2) AS INT)), CAST(array() AS ARRAY<INT>))"
+    series = (f"aggregate({steps}, named_struct('term', {first}, 'total', 0D), "
+              f"(s, i) -> named_struct('term', s.term * {half} / (i + {offset}), 'total', s.total + s.term), "
+              f"s -> s.total)")
+    base = f"IF({even}, 0D, {_erfc_text(f'sqrt({half})')})"
+    text = f"CASE WHEN x.df >= 1 AND x.h >= 0D THEN least(1D, {base} + {series}) END"
+    return let(F.struct(h.cast("double").alias("h"), df.cast("int").alias("df")), text)
