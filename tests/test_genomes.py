@@ -51,8 +51,9 @@ def corpus(seed, shared):
     return texts
 
 
-@pytest.mark.parametrize("seed,shared", [(1, False), (2, True)])
-def test_dereplication_equals_the_sequential_greedy(spark, seed, shared):
+@pytest.mark.parametrize("seed,shared,remainder", [(1, False, 0), (2, True, 0), (2, True, 5_000_000)])
+def test_dereplication_equals_the_sequential_greedy(spark, monkeypatch, seed, shared, remainder):
+    monkeypatch.setattr(dereplicate, "SMALL_REMAINDER", remainder)
     texts = corpus(seed, shared)
     quality = {i: (i * 37) % 50 for i in texts}
     df = spark.createDataFrame(list(texts.items()), "id int, text string")
