@@ -51,9 +51,8 @@ def add_implicit_zeros(counts: DataFrame, sizes: DataFrame, context: Sequence[st
         F.collect_list(F.struct(F.col(group).alias("level"), F.col("size"))).alias("_levels"))
     if context:
         wanted = taxa.join(levels, list(context))
-    else:
-        one = F.lit(1)
-        wanted = taxa.withColumn("_one", one).join(levels.withColumn("_one", one), "_one")
+    else:  # one row: a scalar, not a join on a constant
+        wanted = taxa.withColumn("_levels", levels.scalar())
     wanted = wanted.select(*context, taxon, F.inline("_levels")).withColumnRenamed("level", group)
     zeros = (wanted.join(seen, [*context, taxon, group], "left")
              .withColumn("n", F.col("size") - F.coalesce("_seen", F.lit(0)))

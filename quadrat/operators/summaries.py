@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrat.functions.columns import ratio
@@ -20,13 +20,16 @@ def box_stats(df: DataFrame, keys: Sequence[str], value: str,
     v = F.col(value)
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
-    on = keys or ["_one"]
-    if not keys:
-        counts, boxes = (x.withColumn("_one", F.lit(1)) for x in (counts, boxes))
-    ends = counts.withColumnRenamed("n", "_w").join(boxes, on).groupBy(*on).agg(
+    counts = counts.withColumnRenamed("n", "_w")
+    box = ["n", "q1", "median", "q3"]
+    if keys:
+        rows = counts.join(boxes, keys)
+    else:  # one row: a scalar, not a join on a constant
+        rows = counts.withColumn("_box", boxes.select(F.struct(*box)).scalar()).select(value, "_w", "_box.*")
+    return rows.groupBy(*keys, *box).agg(
         F.min(F.when(inside, v)).alias("lower"), F.max(F.when(inside, v)).alias("upper"),
-        F.coalesce(F.sum(F.when(~inside, F.col("_w"))), F.lit(0)).alias("outliers"))
-    return boxes.join(ends, on).select(*keys, "n", "lower", "q1", "median", "q3", "upper", "outliers")
+        F.coalesce(F.sum(F.when(~inside, F.col("_w"))), F.lit(0)).alias("outliers")
+    ).select(*keys, "n", "lower", "q1", "median", "q3", "upper", "outliers")
 
 
 def trajectory(df: DataFrame, time: str, group: str, value: str,
@@ -89,7 +92,6 @@ def order_by_statistic(df: DataFrame, category: str, statistic: Column,
 
     The position counts categories, a table of the size of the axis of a figure.
     """
-    from pyspark.sql import Window
     table = df.groupBy(category).agg(statistic.alias("statistic"))
     order = F.col("statistic").desc() if descending else F.col("statistic").asc()
     return table.withColumn("position", F.dense_rank().over(Window.orderBy(order)))
