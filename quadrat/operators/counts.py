@@ -59,7 +59,8 @@ def positions(counts: DataFrame, keys: Sequence[str], value: str, n: str = "n")
     rows = counts.withColumn("_bucket", value_bucket(F.col(value)))
     in_bucket = Window.partitionBy(*keys, "_bucket").orderBy(value)
     upto = F.sum(n).over(in_bucket.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    equal = F.sum(n).over(in_bucket.rangeBetween(Window.currentRow, Window.currentRow))
+    # same rows, same order: the peers of a value need neither another shuffle nor a sort
+    equal = F.sum(n).over(Window.partitionBy(*keys, "_bucket", value))
     of_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     totals = rows.groupBy(*keys, "_bucket").agg(F.sum(n).alias("_in"))
     offsets = totals.select(
@@ -67,7 +68,7 @@ def positions(counts: DataFrame, keys: Sequence[str], value: str, n: str = "n")
         (F.sum("_in").over(of_key.orderBy("_bucket")) - F.col("_in")).alias("_offset"),
         F.sum("_in").over(of_key).alias("_total"),
     )
-    return (rows.withColumns({"_ties": equal, "_upto": upto})
+    return (rows.withColumn("_upto", upto).withColumn("_ties", equal)
             .join(offsets, [*keys, "_bucket"])
             .withColumn("_below", F.col("_offset") + F.col("_upto") - F.col("_ties"))
             .drop("_offset", "_upto", "_bucket"))
