@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zipfile
 
 import pandas as pd
@@ -15,7 +16,14 @@ from quadrat.functions import columns as C
 from quadrat.operators import distance, genes, normalize, origins
 from quadrat.operators.counts import exact_median
 from quadrat.sources import delimited, fasta, workbook
-from quadrat.storage import scratch_path
+from quadrat.storage import scratch_path, settle
+
+def _folder(spark, label: str) -> str:
+    """A new scratch folder that tasks write to as files; it must be a mounted path."""
+    path = re.sub("^file:/*", "/", scratch_path(spark, label))
+    os.makedirs(path)
+    return path
+
 
 # ---- sources and sinks -----------------------------------------------------------
 
@@ -92,8 +100,7 @@ def _book(sheets: dict[str, pd.DataFrame]) -> bytes:
 @query("source_workbook_sheets", """SELECT CAST(DENSE_RANK() OVER (PARTITION BY feature ORDER BY module) AS STRING) AS sheet_name, feature, gene_id, module, subheader, gene_freq
     FROM gene_counts""", ["gene_counts"])
 def _(spark, sf):
-    path = scratch_path(spark, "books")
-    os.makedirs(path)
+    path = _folder(spark, "books")
 
     def save(pdf):  # one workbook per feature, one sheet per module
         name = pdf["feature"].iloc[0]
@@ -104,7 +111,6 @@ def _(spark, sf):
         return pd.DataFrame([(name, i, m) for i, m in enumerate(sheets, 1)], columns=["feature", "no", "module"])
 
     modules = gene_counts(spark, sf).groupBy("feature").applyInPandas(save, "feature string, no int, module string")
-    from quadrat.storage import settle
     modules = settle(modules, "modules")
     long = workbook.read_sheets_long(spark, path, ["gene_id", "subheader"])
     return long.select("sheet_name", F.col("column").alias("feature"), "gene_id", "subheader", F.col("value").cast("bigint").alias("gene_freq")).join(
@@ -130,12 +136,11 @@ def _(spark, sf):
 
 @query("source_fasta", "SELECT genome, contig, seq FROM (SELECT 'doc' || doc_id AS genome, 'c1' AS contig, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM documents)")
 def _(spark, sf):
-    path = scratch_path(spark, "fasta")
+    path = _folder(spark, "fasta")
     docs = table(spark, sf, "documents").select(
         F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("genome"),
         F.regexp_replace("text", "[^A-Za-z]", "").alias("seq"))
     body = F.regexp_replace("seq", "(.{60})", "$1\n")
-    os.makedirs(path)
 
     def save(batches):
         for pdf in batches:

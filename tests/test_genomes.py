@@ -117,11 +117,11 @@ def test_matrix_and_cluster_files(spark, tmp_path):
     (tmp_path / "m.csv").write_text("Sample,a.bin1,b.bin2\ns1,0,2.5\ns2,1,0\n")
     got = delimited.read_abundance_matrix(spark, str(tmp_path / "m.csv"))
     assert sorted(tuple(r) for r in got.collect()) == [("s1", "b.bin2", 2.5), ("s2", "a.bin1", 1.0)]
-    for db in ("CMMG", "MGBC"):
+    for db in ("dbA", "dbB"):
         (tmp_path / f"{db}_representative_genomes.tsv").write_text(f"./{db}/x.fa.1.fa\t./{db}/y.fa\n")
-    paths = [str(tmp_path / f"{db}_representative_genomes.tsv") for db in ("CMMG", "MGBC")]
+    paths = [str(tmp_path / f"{db}_representative_genomes.tsv") for db in ("dbA", "dbB")]
     rows = delimited.read_clusters(spark, paths).orderBy("database").collect()
-    assert [tuple(r) for r in rows] == [("x.fa.1", "y", "CMMG"), ("x.fa.1", "y", "MGBC")]
+    assert [tuple(r) for r in rows] == [("x.fa.1", "y", "dbA"), ("x.fa.1", "y", "dbB")]
 
 
 def test_fasta(spark, tmp_path):
