@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import gray_simhash
+from quadrat.llm import bpe, gray_simhash, packing, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def query(name: str, sql: str | None = None):
     def add(fn):
@@ -26,6 +30,22 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_byte_bpe")
+def op1(spark, sf):
+    return bpe.digests(table(spark, sf, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
+@query("op4_best_fit_packing")
+def op4(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), TOKENIZER, public_tokenizers.PATTERN)
+
+
+@query("op8_token_counts")
+def op8(spark, sf):
+    return token_counts.by_limit(token_counts.histogram(
+        table(spark, sf, "documents"), RANKS, public_tokenizers.PATTERN))
+
+
 @query("op10_gray_simhash")
 def op10(spark, sf):
     found = gray_simhash.near_duplicates(table(spark, sf, "documents"))
