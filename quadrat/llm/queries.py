@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import bpe, gray_simhash, packing, token_counts
+from quadrat.llm import bpe, divergence_rules, gray_simhash, packing, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,57 @@ def op4(spark, sf):
     return packing.pack(table(spark, sf, "documents"), TOKENIZER, public_tokenizers.PATTERN)
 
 
+def quality_sql() -> str:
+    """The rules and both references, step by step."""
+    rules = divergence_rules
+    lists = " ".join("WHEN '%s' THEN [%s]" % (lang, ", ".join(f"'{w}'" for w in own))
+                     for lang, own in rules.COMMON.items())
+    steps, left = [], "array_to_string(ws, '')"
+    for pattern in rules.CLASSES.values():
+        steps.append(left)
+        left = f"regexp_replace({left}, '{pattern}', '', 'g')"
+    chars = ", ".join(f"length({a}) - length({b})" for a, b in zip(steps, [*steps[1:], left]))
+
+    def distance(name: str) -> str:
+        part = "CASE WHEN {0} > 0 THEN {0} * log2({0} / (({0} + {1}) / 2)) / 2 ELSE 0e0 END"
+        p, q = f"({name}[i] * 1e0 / list_sum({name}))", f"(ref_{name}[i] * 1e0 / list_sum(ref_{name}))"
+        return f"""coalesce(CASE WHEN list_sum({name}) > 0 AND list_sum(ref_{name}) > 0 THEN sqrt(greatest(0e0, list_sum(list_transform(
+          range(1, len({name}) + 1), lambda i: {part.format(p, q)} + {part.format(q, p)})))) ELSE 0e0 END, 0e0)"""
+    far = " OR ".join(f"(n_words >= {least} AND {column} > {limit}e0)" for column, least, limit in rules.LIMITS)
+    sizes = {"chars": len(rules.CLASSES) + 1, "common": len(rules.COMMON["en"]) + 1}
+    sums = ", ".join("[%s] AS ref_%s" % (", ".join(f"coalesce(SUM({n}[{i + 1}]), 0)" for i in range(k)), n)
+                     for n, k in sizes.items())
+
+    def compared(ref: str) -> str:
+        return f"""SELECT *, {far} AS far FROM (SELECT c.*, {distance('chars')} AS char_distance, {distance('common')} AS word_distance
+          FROM counts c LEFT JOIN {ref} r ON c.lang IS NOT DISTINCT FROM r.ref_lang)"""
+    return f"""WITH w AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS s,
+        regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+      windows AS (SELECT rid, unnest(range(1, len(ws) - {rules.WINDOW - 2})) AS i, ws FROM w WHERE len(ws) >= {rules.WINDOW}),
+      twice AS (SELECT rid, i FROM (SELECT rid, i, COUNT(*) OVER (PARTITION BY rid, ws[i:i + {rules.WINDOW - 1}]) AS n FROM windows) WHERE n > 1),
+      repeats AS (SELECT rid, COUNT(DISTINCT i + k) AS n FROM twice, range({rules.WINDOW}) t(k) GROUP BY rid),
+      lines AS (SELECT rid, list_filter(string_split(s, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM w),
+      counts AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.REPEAT_PERCENT} * n_words AS base_failed FROM (
+        SELECT w.rid, doc_id, lang, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+          length(s) - length(regexp_replace(s, '[#*$%&|<>]+', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+          coalesce(r.n, 0) AS n_repeat_words, [{chars}, length({left})] AS chars,
+          list_append(hits, len(ws) - coalesce(list_sum(hits), 0)) AS common
+        FROM (SELECT *, list_transform(coalesce(CASE lang {lists} END, CAST([] AS VARCHAR[])), lambda x: len(list_filter(ws, lambda y: y = x))) AS hits FROM w) w
+        JOIN lines USING (rid) LEFT JOIN repeats r USING (rid))),
+      ref1 AS (SELECT lang AS ref_lang, {sums} FROM counts WHERE NOT base_failed GROUP BY 1),
+      near AS ({compared('ref1')}),
+      ref2 AS (SELECT lang AS ref_lang, {sums} FROM near WHERE NOT base_failed AND NOT far GROUP BY 1)
+      SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+        NOT base_failed AND NOT far AS kept FROM ({compared('ref2')})"""
+
+
+@query("op6_divergence_rules", quality_sql())
+def op6(spark, sf):
+    return divergence_rules.judge(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op8_token_counts")
 def op8(spark, sf):
     return token_counts.by_limit(token_counts.histogram(
