@@ -21,6 +21,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import json
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -33,6 +35,11 @@ from quadrat.llm.common import map_rows, schema_of, texts
 
 #: Pieces whose ids a task remembers; it starts anew beyond.
 REMEMBERED = 200_000
+PIECES_REMEMBERED = 500_000
+#: Halves of so many bytes come again in many pieces, so their ids are remembered.
+SHORT_HALF = 8
+#: Above every rank.
+NEVER = 1 << 60
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -40,19 +47,36 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
 
 
+def parse_tokenizer(data: bytes) -> dict[bytes, int]:
+    """The same from a tokenizer file (JSON) of a byte-level BPE whose merges are in order of their ids."""
+    model = json.loads(data)["model"]
+    # Printable Latin-1 stands for itself, the other bytes for 256, 257, ... in order.
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in own]
+    byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(other)}
+    vocab = model["vocab"]
+    made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if made != sorted(made):
+        raise ValueError("merges are not in order of their ids")
+    made = set(made)
+    return {bytes(byte[c] for c in t): i for t, i in vocab.items() if i in made or len(t) == 1}
+
+
 def merge_bytes(piece: bytes, rank: dict[bytes, int]) -> tuple[int, ...]:
     """Merge the adjacent pair of lowest rank, leftmost first, until none is a token."""
     if len(piece) > 64:
         return _merge_long(piece, rank)
-    parts = [piece[i:i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best = min((r, i) for i in range(len(parts) - 1)
-                   if (r := rank.get(parts[i] + parts[i + 1], 1 << 60)) is not None)
-        if best[0] == 1 << 60:
-            break
-        i = best[1]
-        parts[i:i + 2] = [parts[i] + parts[i + 1]]
-    return tuple(rank[p] for p in parts)
+    cut = list(range(len(piece) + 1))  # part i is piece[cut[i]:cut[i + 1]]
+    get = rank.get
+    pair = [get(piece[i:i + 2], NEVER) for i in range(len(piece) - 1)]
+    while pair and (low := min(pair)) != NEVER:
+        i = pair.index(low)
+        del cut[i + 1], pair[i]
+        if i < len(pair):
+            pair[i] = get(piece[cut[i]:cut[i + 2]], NEVER)
+        if i:
+            pair[i - 1] = get(piece[cut[i - 1]:cut[i + 1]], NEVER)
+    return tuple([rank[piece[i:j]] for i, j in zip(cut, cut[1:])])
 
 
 def _merge_long(piece: bytes, rank: dict[bytes, int]) -> tuple[int, ...]:
@@ -88,6 +112,7 @@ class TreeCodec:
         self.rank = rank
         self.token = {i: b for b, i in rank.items()}
         self._seams: dict[tuple[int, ...], tuple[int, ...]] = {}
+        self._halves: dict[bytes, tuple[int, ...]] = {}
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         if not piece:
@@ -95,12 +120,23 @@ class TreeCodec:
         own = self.rank.get(piece)
         if own is not None:
             return (own,)
+        short = len(piece) <= SHORT_HALF
+        if short and (found := self._halves.get(piece)):
+            return found
         mid = len(piece) // 2
-        return self.join(self.encode(piece[:mid]), self.encode(piece[mid:]))
+        found = self.join(self.encode(piece[:mid]), self.encode(piece[mid:]))
+        if short:
+            if len(self._halves) > REMEMBERED:
+                self._halves.clear()
+            self._halves[piece] = found
+        return found
 
     def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         if not left or not right:
             return left + right
+        seam = (left[-1], right[0])
+        if self._again(seam) == seam:
+            return left + right
         k = 1
         while True:
             x, y = left[-k:], right[:k]
@@ -134,8 +170,8 @@ class Pieces(dict):
         self.ids_of = ids_of
 
     def __missing__(self, piece: str) -> bytes:
-        packed = np.array(self.ids_of(piece), "<u4").tobytes()
-        if len(self) >= REMEMBERED:
+        packed = struct.pack(f"<{len(ids := self.ids_of(piece))}I", *ids)
+        if len(self) >= PIECES_REMEMBERED:
             self.clear()
         self[piece] = packed
         return packed
@@ -147,7 +183,7 @@ class Pieces(dict):
 @lru_cache(maxsize=2)
 def codec(data: bytes, pattern: str) -> tuple[TreeCodec, Pieces]:
     """One codec per worker process and vocabulary."""
-    tree = TreeCodec(parse_ranks(data))
+    tree = TreeCodec(parse_tokenizer(data) if data.lstrip()[:1] == b"{" else parse_ranks(data))
     return tree, Pieces(pattern, lambda piece: tree.encode(piece.encode()))
 
 

@@ -20,7 +20,6 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrat.llm.bpe import Pieces, as_text, vocabulary
+from quadrat.llm.bpe import as_text, codec, vocabulary
 from quadrat.llm.common import map_rows, schema_of, texts
 from quadrat.storage import settle
 
@@ -39,15 +38,6 @@ GROUPS = (48, 192, 768)
 SHORT = 1 / 16
 
 
-@lru_cache(maxsize=2)
-def tokenizer_pieces(data: bytes, pattern: str) -> Pieces:
-    """Ids of pieces by a tokenizer file; strings of special tokens are ordinary text."""
-    from tokenizers import Tokenizer
-    tokenizer = Tokenizer.from_str(data.decode())
-    tokenizer.encode_special_tokens = True
-    return Pieces(pattern, lambda piece: tokenizer.encode(piece, add_special_tokens=False).ids)
-
-
 def cut(n: int, room: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens; only the first may be shorter than ``room``."""
     if n <= room:
@@ -62,7 +52,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, end_id: int, room: int) ->
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
-        known, count, task = tokenizer_pieces(data.value, pattern), Counter(), TaskContext.get().partitionId()
+        known, count, task = codec(data.value, pattern)[1], Counter(), TaskContext.get().partitionId()
 
         def rows(batch):
             for doc, text in zip(batch["doc_id"], batch["text"]):
