@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import bpe, divergence_rules, gray_simhash, packing, token_counts
+from quadrat.llm import bpe, brown_lm, divergence_rules, gray_simhash, packing, pu_toxicity, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,16 @@ def op1(spark, sf):
     return bpe.digests(table(spark, sf, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def fold(folds: int):
+    """crc32 of doc_id as text, modulo the number of folds."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
+
+
+@query("op2_brown_lm")
+def op2(spark, sf):
+    return brown_lm.score(table(spark, sf, "documents"), fold(5) != 1)
+
+
 @query("op4_best_fit_packing")
 def op4(spark, sf):
     return packing.pack(table(spark, sf, "documents"), TOKENIZER, public_tokenizers.PATTERN)
@@ -91,6 +101,15 @@ def op6(spark, sf):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op7_pu_toxicity")
+def op7(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = pu_toxicity.fit(docs, table(spark, sf, "labels"), fold(3) != 1)
+    return pu_toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query("op8_token_counts")
 def op8(spark, sf):
     return token_counts.by_limit(token_counts.histogram(
