@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import bpe, brown_lm, divergence_rules, gray_simhash, packing, pu_toxicity, token_counts
+from quadrat.llm import bpe, brown_lm, divergence_rules, gray_simhash, host_paths, i_match, packing, pu_toxicity, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +50,11 @@ def op4(spark, sf):
     return packing.pack(table(spark, sf, "documents"), TOKENIZER, public_tokenizers.PATTERN)
 
 
+@query("op5_host_paths")
+def op5(spark, sf):
+    return host_paths.extract(table(spark, sf, "pages"))
+
+
 def quality_sql() -> str:
     """The rules and both references, step by step."""
     rules = divergence_rules
@@ -116,6 +121,12 @@ def op8(spark, sf):
         table(spark, sf, "documents"), RANKS, public_tokenizers.PATTERN))
 
 
+@query("op9_i_match")
+def op9(spark, sf):
+    docs = table(spark, sf, "documents")
+    return i_match.edited_pairs(docs, i_match.lexicon(docs))
+
+
 @query("op10_gray_simhash")
 def op10(spark, sf):
     found = gray_simhash.near_duplicates(table(spark, sf, "documents"))
