@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import bpe, brown_lm, divergence_rules, gray_simhash, host_paths, i_match, packing, pu_toxicity, token_counts
+from quadrat.llm import bpe, brown_lm, divergence_rules, gray_simhash, host_paths, i_match, packing, pu_toxicity, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,11 @@ def op2(spark, sf):
     return brown_lm.score(table(spark, sf, "documents"), fold(5) != 1)
 
 
+@query("op3_suffix_dedup")
+def op3(spark, sf):
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents")).drop("kept")
+
+
 @query("op4_best_fit_packing")
 def op4(spark, sf):
     return packing.pack(table(spark, sf, "documents"), TOKENIZER, public_tokenizers.PATTERN)
