@@ -33,7 +33,7 @@ from quadrat.storage import settle
 
 FULL = (1 << 64) - 1
 #: Entries of one masked pattern beyond which its free bits are split again.
-SPLIT_AT = 50_000
+SPLIT_AT = 8_000
 FAN = 8
 _PAIRS_AT_ONCE = 8_192
 
@@ -67,19 +67,12 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 3, long_word: int = 0) -> DataFrame:
-    """doc_id, fp (64 bits as a long) of whole texts.
-
-    ``long_word`` keeps only words of so many bytes (all, if a text has none):
-    with single words, common ones would make all texts of a language alike.
-    """
+def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
+    """doc_id, fp (64 bits as a long) of whole texts."""
     def make():
         def rows(batch):
             for doc, text in zip(batch["doc_id"], batch["text"]):
-                tokens = words(text)
-                if long_word:
-                    tokens = [w for w in tokens if len(w) >= long_word] or tokens
-                yield doc, signed(majority_bits(shingle_hashes(tokens, shingle_words)))
+                yield doc, signed(majority_bits(shingle_hashes(words(text), shingle_words)))
         return rows
     return map_rows(texts(docs), schema_of(docs, "doc_id", fp=T.LongType()), make)
 
@@ -197,10 +190,9 @@ def forest(entries: DataFrame, distance: int, split_at: int = SPLIT_AT) -> DataF
     return level.repartition(parts, "mask", "pattern").mapInArrow(search, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 3, distance: int = 2, long_word: int = 0,
-                    split_at: int = SPLIT_AT) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 3, distance: int = 2, split_at: int = SPLIT_AT) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over links of at most ``distance`` bits."""
-    prints = settle(fingerprints(docs, shingle_words, long_word), "prints")
+    prints = settle(fingerprints(docs, shingle_words), "prints")
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     edges = settle(forest(first.select("fp"), distance, split_at), "links")
     code = components(edges).select(F.col("node").alias("fp"), F.col("component").alias("code"))

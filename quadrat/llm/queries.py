@@ -47,7 +47,8 @@ def op2(spark, sf):
 
 @query("op3_suffix_dedup")
 def op3(spark, sf):
-    return suffix_dedup.remove_repeats(table(spark, sf, "documents")).drop("kept")
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents")).drop("rest", "rest_text").withColumnRenamed(
+        "rest_sha256", "kept_sha256")
 
 
 @query("op4_best_fit_packing")
