@@ -166,12 +166,12 @@ def with_next(docs: DataFrame, rows_per_range: int = 20_000) -> DataFrame:
     cuts = docs.agg(F.percentile_approx("doc_id", [i / pieces for i in range(pieces)], 20 * pieces)).first()[0]
     inner = sorted({float(c) for c in cuts or []})
     rows = texts(docs).withColumn("_at", F.col("doc_id").cast("double"))
+    if not inner:
+        return rows.drop("_at").withColumns({"range": F.lit(0), "lent": F.lit(False)})
     ranges = Bucketizer(splits=[-math.inf, *inner, math.inf], inputCol="_at", outputCol="range")
     rows = ranges.transform(rows).withColumn("range", F.col("range").cast("int")).drop("_at")
     firsts = sorted(tuple(r) for r in rows.groupBy("range").agg(F.min("doc_id").alias("first")).select(
         "first", "range").collect())  # one per range
-    if not firsts:
-        return rows.withColumn("lent", F.lit(False))
     before = {first: firsts[i - 1][1] for i, (first, _) in enumerate(firsts)}
     lend = F.create_map(*[x for k, v in before.items() for x in (F.lit(k), F.lit(v))])
     # of several documents with the first id, the first by text is lent

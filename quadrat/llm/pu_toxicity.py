@@ -172,7 +172,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn, prior: float | None = None, p
 
 def score(docs: DataFrame, model, *keep: str) -> DataFrame:
     """doc_id, ``keep`` and score (0 to 1) of every text."""
-    chosen, weight, bias = model or ({}, np.zeros(0), -np.inf)
+    if model is None:
+        return docs.select("doc_id", *keep, F.lit(0.0).alias("score"))
+    chosen, weight, bias = model
 
     def make():
         marks = Marks(chosen)
