@@ -18,20 +18,27 @@ from quadrat.storage import settle
 TOXIC_FROM = 0.7
 
 
+#: One column with a document's own columns, whatever their names.
+ROW = "_row"
+
+
+def with_row(docs: DataFrame, *without: str) -> DataFrame:
+    """What the operators read, and the whole row next to it."""
+    own = [F.col(c) for c in docs.columns if c not in without]
+    return docs.select("doc_id", "text", "lang", F.struct(*own).alias(ROW))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are near enough to their language."""
-    others = [c for c in docs.columns if c not in ("doc_id", "lang")]
-    return divergence_rules.judge(docs, *others).where("kept").select(docs.columns)
+    return divergence_rules.judge(with_row(docs), ROW).where("kept").select(f"{ROW}.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the limit by a model of the labelled learning rows among them."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     learn = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    scored = pu_toxicity.score(docs.withColumn("_text", F.col("text")), pu_toxicity.fit(docs, labels, learn),
-                               "_text", *others)
-    return scored.where(F.col("score") < TOXIC_FROM).withColumnRenamed("_text", "text").select(docs.columns)
+    scored = pu_toxicity.score(with_row(docs), pu_toxicity.fit(docs, labels, learn), ROW)
+    return scored.where(F.col("score") < TOXIC_FROM).select(f"{ROW}.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +48,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the passages that an earlier one has, too; n_chars follows the text."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = suffix_dedup.remove_repeats(docs, *others).withColumnRenamed("rest_text", "text")
+    cut = suffix_dedup.remove_repeats(with_row(docs, "text"), ROW)
+    new = {"text": F.col("rest_text")}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(docs.columns)
+        new["n_chars"] = F.char_length("rest_text").cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[new.get(c, F.col(f"{ROW}.{c}")).alias(c) for c in docs.columns])
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
