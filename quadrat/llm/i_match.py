@@ -4,8 +4,8 @@ Method. The lexicon is every term whose document frequency lies within a
 band of shares of all documents, that is, whose inverse document frequency is
 neither small nor large. It is thinned to random subsets at several rates: a
 term is in subset i of a rate if its hash, keyed by rate and i, is under the
-rate. A text is its distinct lexicon terms; for every subset the terms in it
-are sorted and hashed to 32 bits; no term at all gives the empty code. The
+rate. A text is its distinct lexicon terms in sorted order; for every subset the
+codes of the terms in it are hashed to 32 bits; no term at all gives the empty code. The
 fingerprint is the concatenation. Small changes leave the subsets they do not
 touch as they are, and the sparse rates serve long texts, the dense ones short.
 
@@ -35,6 +35,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,30 +94,27 @@ class Fingerprinter:
     def __init__(self, terms: list[bytes]):
         self.number = {t: i for i, t in enumerate(terms)}
         n = len(RATES) * SUBSETS
-        rng = np.array([zlib.crc32(t) for t in terms], np.uint64)
-        self.own = rng * np.uint64(0x9E3779B97F4A7C15)
+        self.code = np.array([xxhash.xxh64_intdigest(t) for t in terms], np.uint64)
         # membership of every term in every subset, one bit each
         salt = np.array([zlib.crc32(f"subset {i}".encode()) for i in range(n)], np.uint64)
         self.member = np.zeros((len(terms), n), bool)
         for i in range(n):
-            x = (self.own ^ (salt[i] << np.uint64(20))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (self.code ^ (salt[i] << np.uint64(20))) * np.uint64(0xBF58476D1CE4E5B9)
             x ^= x >> np.uint64(31)
             x *= np.uint64(0x94D049BB133111EB)
             self.member[:, i] = (x >> np.uint64(40)) < np.uint64(int(RATES[i // SUBSETS] * (1 << 24)))
         self.packed = np.packbits(self.member, axis=1)
         del self.member
-        self.terms = terms
 
     def of(self, text: bytes) -> str:
         get = self.number.get
         found = sorted(i for i in map(get, set(words(text))) if i is not None)  # in term order
         if not found:
             return hashlib.md5(text).hexdigest()[:8]
-        bits = np.unpackbits(self.packed[found], axis=1).astype(bool)
-        ids = np.array(found)
-        terms = self.terms
-        return "".join([
-            f"{zlib.crc32(b' '.join([terms[i] for i in ids[own]])):08x}" if own.any() else EMPTY for own in bits.T])
+        bits = np.unpackbits(self.packed[found], axis=1, count=len(RATES) * SUBSETS).T
+        data = self.code[found][np.nonzero(bits)[1]].tobytes()  # subset by subset
+        ends = (8 * np.cumsum(bits.sum(1, dtype=np.int64))).tolist()
+        return "".join([f"{zlib.crc32(data[a:b]):08x}" if b > a else EMPTY for a, b in zip([0, *ends], ends)])
 
 
 def likeness(a: str, b: str) -> float:
