@@ -22,6 +22,7 @@ import base64
 import hashlib
 import heapq
 import json
+import re
 import struct
 from functools import lru_cache
 
@@ -36,8 +37,8 @@ from quadrat.llm.common import map_rows, schema_of, texts
 #: Pieces whose ids a task remembers; it starts anew beyond.
 REMEMBERED = 200_000
 PIECES_REMEMBERED = 500_000
-#: Halves of so many bytes come again in many pieces, so their ids are remembered.
-SHORT_HALF = 8
+#: Bytes of a half that is not halved again.
+LEAF = 12
 #: Above every rank.
 NEVER = 1 << 60
 
@@ -79,6 +80,17 @@ def merge_bytes(piece: bytes, rank: dict[bytes, int]) -> tuple[int, ...]:
     return tuple([rank[piece[i:j]] for i, j in zip(cut, cut[1:])])
 
 
+def merge_table(rank: dict[bytes, int]) -> dict[int, int]:
+    """Id of the token that two neighbouring tokens make, by (left id << 20) + right id."""
+    table = {}
+    for token, i in rank.items():
+        for at in range(1, len(token)):
+            left = rank.get(token[:at])
+            if left is not None and (right := rank.get(token[at:])) is not None:
+                table[(left << 20) + right] = i
+    return table
+
+
 def _merge_long(piece: bytes, rank: dict[bytes, int]) -> tuple[int, ...]:
     """The same with a heap of candidate pairs over a linked list."""
     n = len(piece)
@@ -111,8 +123,9 @@ class TreeCodec:
     def __init__(self, rank: dict[bytes, int]):
         self.rank = rank
         self.token = {i: b for b, i in rank.items()}
+        self._merged = merge_table(rank)
+        self._byte = [rank.get(bytes([b]), -1) for b in range(256)]
         self._seams: dict[tuple[int, ...], tuple[int, ...]] = {}
-        self._halves: dict[bytes, tuple[int, ...]] = {}
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         if not piece:
@@ -120,16 +133,25 @@ class TreeCodec:
         own = self.rank.get(piece)
         if own is not None:
             return (own,)
-        short = len(piece) <= SHORT_HALF
-        if short and (found := self._halves.get(piece)):
-            return found
+        if len(piece) <= LEAF:
+            return self._leaf(piece)
         mid = len(piece) // 2
-        found = self.join(self.encode(piece[:mid]), self.encode(piece[mid:]))
-        if short:
-            if len(self._halves) > REMEMBERED:
-                self._halves.clear()
-            self._halves[piece] = found
-        return found
+        return self.join(self.encode(piece[:mid]), self.encode(piece[mid:]))
+
+    def _leaf(self, piece: bytes) -> tuple[int, ...]:
+        """``merge_bytes`` of a short half, over ids: a token's id is its rank."""
+        get = self._merged.get
+        ids = [self._byte[b] for b in piece]
+        pair = [get((x << 20) + y, NEVER) for x, y in zip(ids, ids[1:])]
+        while pair and (low := min(pair)) != NEVER:
+            i = pair.index(low)
+            ids[i] = low
+            del ids[i + 1], pair[i]
+            if i < len(pair):
+                pair[i] = get((low << 20) + ids[i + 1], NEVER)
+            if i:
+                pair[i - 1] = get((ids[i - 1] << 20) + low, NEVER)
+        return tuple(ids)
 
     def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         if not left or not right:
@@ -148,7 +170,8 @@ class TreeCodec:
     def _again(self, ids: tuple[int, ...]) -> tuple[int, ...]:
         found = self._seams.get(ids)
         if found is None:
-            found = merge_bytes(b"".join([self.token[i] for i in ids]), self.rank)
+            text = b"".join([self.token[i] for i in ids])
+            found = self._leaf(text) if len(text) <= 2 * LEAF else merge_bytes(text, self.rank)
             if len(ids) <= 4:
                 if len(self._seams) > REMEMBERED:
                     self._seams.clear()
@@ -162,22 +185,42 @@ class TreeCodec:
         return self.decode(ids[:mid]) + self.decode(ids[mid:])
 
 
-class Pieces(dict):
-    """Piece of text to its ids as little-endian 32-bit numbers, made when first asked for."""
+#: The usual splitting pattern; for texts of ASCII and Latin letters alone, the same written with plain classes,
+#: which is faster.
+USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_PLAIN_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^ \t-\r{_LATIN}0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+_NOT_PLAIN = re.compile(rf"[^ \t-\r!-~{_LATIN}]")
+
+
+class Pieces:
+    """Pieces of text and their ids as little-endian 32-bit numbers, remembered."""
 
     def __init__(self, pattern: str, ids_of):
-        self.split = regex.compile(pattern).findall
+        self.general = regex.compile(pattern).findall
+        self.usual = pattern == USUAL
         self.ids_of = ids_of
+        self.known: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> bytes:
-        packed = struct.pack(f"<{len(ids := self.ids_of(piece))}I", *ids)
-        if len(self) >= PIECES_REMEMBERED:
-            self.clear()
-        self[piece] = packed
-        return packed
+    def split(self, text: str) -> list[str]:
+        if self.usual and not _NOT_PLAIN.search(text):
+            return _PLAIN_SPLIT.findall(text)
+        return self.general(text)
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.split(text)))
+        known = self.known
+        if len(known) >= PIECES_REMEMBERED:
+            known.clear()
+        found = list(map(known.get, pieces := self.split(text)))
+        if None in found:
+            for i, packed in enumerate(found):
+                if packed is None:
+                    packed = known.get(piece := pieces[i])
+                    if packed is None:
+                        ids = self.ids_of(piece)
+                        known[piece] = packed = struct.pack(f"<{len(ids)}I", *ids)
+                    found[i] = packed
+        return b"".join(found)
 
 
 @lru_cache(maxsize=2)
