@@ -74,19 +74,19 @@ _SQUARE = """bray0 AS (SELECT a, b, d FROM bray JOIN samples x ON x.sample = a A
 
 
 @query("analysis_ordination_permanova", f"""WITH {_SQUARE}, member AS (SELECT 'sex' AS combination, sample, sex AS label FROM samples WHERE day = 0),
-    pd AS (SELECT 'sex' AS combination, a, b, d FROM bb), {_sql_permanova(199)} SELECT combination AS factor, n, df, {_PERM_OUT} FROM tests""", ["bray", "samples"])
+    pd AS (SELECT 'sex' AS combination, a, b, d FROM bb), {_sql_permanova(9999)} SELECT combination AS factor, n, df, {_PERM_OUT} FROM tests""", ["bray", "samples"])
 def _(spark, sf):
     who = samples(spark, sf).filter("day = 0")
     from quadrat.operators.permanova import permanova
     dist = plans.sample_distances(abundance(spark, sf), who, double=True)
-    return rounded(permanova(dist, who, "sex", 199))
+    return rounded(permanova(dist, who, "sex", 9999))
 
 
 @query("analysis_ordination")
 def _(spark, sf):
     who = samples(spark, sf).filter("day != 0")
     dist = plans.sample_distances(abundance(spark, sf), who, double=True)
-    o = plans.ordinate(dist, who, "sex", permutations=99)
+    o = plans.ordinate(dist, who, "sex", permutations=999)
     flat = lambda df, kind, name, axis, value: df.select(
         F.lit(kind).alias("kind"), F.col(name).cast("string").alias("name"), F.expr(axis).alias("axis"), F.col(value).alias("value"))
     return (flat(o.coords, "sample", "sample", "axis", "value").unionByName(flat(o.centroids, "centroid", "sex", "axis", "value"))
@@ -99,7 +99,7 @@ def _pairwise_sql(where):
     co AS (SELECT x.cohort || '-' || y.cohort AS combination, x.cohort AS level1, y.cohort AS level2 FROM lv x JOIN lv y ON x.cohort < y.cohort),
     member AS (SELECT combination, sample, cohort AS label FROM sm JOIN co ON cohort = level1 OR cohort = level2),
     pd AS (SELECT x.combination, a, b, d FROM bray JOIN member x ON x.sample = a JOIN member y ON y.sample = b AND y.combination = x.combination),
-    {_sql_permanova(99)}, adj AS (SELECT *, least(1, p * COUNT(*) OVER ()) AS p_adj FROM tests)
+    {_sql_permanova(999)}, adj AS (SELECT *, least(1, p * COUNT(*) OVER ()) AS p_adj FROM tests)
     SELECT combination, level1, level2, n, df, {_PERM_OUT}, round(p_adj, 6) AS p_adj FROM adj JOIN co USING (combination)"""
 
 
@@ -108,13 +108,13 @@ def _(spark, sf):
     from quadrat.operators.permanova import permanova_pairwise
     who = samples(spark, sf).filter("day < 3")
     dist = plans.sample_distances(abundance(spark, sf), who)
-    return rounded(permanova_pairwise(dist, who, "cohort", 99, "bonferroni"))
+    return rounded(permanova_pairwise(dist, who, "cohort", 999, "bonferroni"))
 
 
 WINDOWS = {f"{a}-{b}": (a, b) for a, b in zip(TIMEPOINTS[:-1], TIMEPOINTS[1:])}
 _WIN = " UNION ALL ".join(f"SELECT '{w}' AS win, '{t}' AS timepoint" for w, pair in WINDOWS.items() for t in pair)
 _WTAXA = f"""ws AS (SELECT win, s.* FROM samples s JOIN ({_WIN}) USING (timepoint)),
-    rt AS (SELECT sample, genus AS taxon, SUM(rel_abund) AS v FROM rel JOIN taxonomy USING (feature) GROUP BY 1, 2),
+    rt AS (SELECT sample, genus AS taxon, 100 * SUM(value) / any_value(total) AS v FROM abundance JOIN totals USING (sample) JOIN taxonomy USING (feature) GROUP BY 1, 2),
     seen AS (SELECT DISTINCT sex, win, taxon FROM ws JOIN rt USING (sample)),
     taxa AS (SELECT ws.sex, ws.win, ws.sample, ws.grp, seen.taxon, COALESCE(rt.v, 0) AS v FROM ws JOIN seen ON seen.sex = ws.sex AND seen.win = ws.win
       LEFT JOIN rt ON rt.sample = ws.sample AND rt.taxon = seen.taxon)"""
@@ -125,7 +125,7 @@ _ALPHA = 0.9  # the fixture data has no real group effect; a wide level keeps ro
     hits AS (SELECT sex, win, taxon, p_adj AS p_experiment FROM ka WHERE p_adj < {_ALPHA}), ht AS (SELECT taxa.* FROM taxa JOIN hits USING (sex, win, taxon)),
     w AS ({sql_wilcox('ht', 'sex, win, taxon', 'v', 'grp', _ALLPAIRS)}), wa AS ({sql_bh('w', 'p', 'sex, win, taxon')})
     SELECT sex, win AS window, taxon, group1, group2, round(p_experiment, 6) AS p_experiment, round(p_adj, 6) AS p_adj FROM wa JOIN hits USING (sex, win, taxon)
-    WHERE p_adj < {_ALPHA} AND group2 = '{REF}'""", ["rel", "samples", "taxonomy"])
+    WHERE p_adj < {_ALPHA} AND group2 = '{REF}'""", ["totals", "samples", "taxonomy"])
 def _(spark, sf):
     return rounded(plans.differential_taxa(abundance(spark, sf), samples(spark, sf), taxonomy(spark, sf), "genus",
                                            WINDOWS, REF, LEVELS, _ALPHA))
@@ -133,7 +133,7 @@ def _(spark, sf):
 
 _MTAXA = """ms AS (SELECT * FROM samples WHERE sex = 'M'),
     taxa AS (SELECT s.*, t.taxon, COALESCE(r.v, 0) AS v FROM ms s CROSS JOIN (SELECT DISTINCT phylum AS taxon FROM taxonomy) t
-    LEFT JOIN (SELECT sample, phylum AS taxon, SUM(rel_abund) AS v FROM rel JOIN taxonomy USING (feature) GROUP BY 1, 2) r ON r.sample = s.sample AND r.taxon = t.taxon),
+    LEFT JOIN (SELECT sample, phylum AS taxon, 100 * SUM(value) / any_value(total) AS v FROM abundance JOIN totals USING (sample) JOIN taxonomy USING (feature) GROUP BY 1, 2) r ON r.sample = s.sample AND r.taxon = t.taxon),
     sel AS (SELECT taxon, MAX(m) AS median FROM (SELECT taxon, grp, median(v) AS m FROM taxa GROUP BY 1, 2) GROUP BY 1 HAVING MAX(m) > 17),
     pos AS (SELECT taxon, DENSE_RANK() OVER (ORDER BY median) AS position FROM sel), lt AS (SELECT taxa.* FROM taxa JOIN sel USING (taxon) WHERE timepoint <> '0dpi')"""
 
@@ -147,14 +147,14 @@ def _profiles(spark, sf):
 
 @query("analysis_taxon_profile_tests", f"""WITH RECURSIVE {_MTAXA}, {_LV}, {sql_nulls(_sizes('lt', 'taxon'))},
     w AS ({sql_wilcox('lt', 'taxon', 'v', 'grp', _REFPAIRS, 'two.sided', True)}), adj AS ({sql_bh('w', 'p', 'taxon')})
-    SELECT taxon, {_TEST}, round(p_adj, 6) AS p_adj, position FROM adj JOIN pos USING (taxon)""", ["rel", "samples", "taxonomy"])
+    SELECT taxon, {_TEST}, round(p_adj, 6) AS p_adj, position FROM adj JOIN pos USING (taxon)""", ["totals", "samples", "taxonomy"])
 def _(spark, sf):
     return rounded(_profiles(spark, sf)["tests"].withColumn("position", F.col("position").cast("bigint")))
 
 
 @query("analysis_taxon_profile_boxes", f"""WITH {_MTAXA}, q AS (SELECT taxon, grp, COUNT(*) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS med, quantile_cont(v, 0.75) AS q3 FROM lt GROUP BY 1, 2)
     SELECT taxon, grp, n, round(MIN(v) FILTER (i), 6) AS lower, round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3, round(MAX(v) FILTER (i), 6) AS upper, COUNT(*) FILTER (NOT i) AS outliers, position
-    FROM (SELECT lt.taxon, lt.grp, v, n, q1, med, q3, v BETWEEN q1 - 1.5e0 * (q3 - q1) AND q3 + 1.5e0 * (q3 - q1) AS i FROM lt JOIN q USING (taxon, grp)) JOIN pos USING (taxon) GROUP BY taxon, grp, n, q1, med, q3, position""", ["rel", "samples", "taxonomy"])
+    FROM (SELECT lt.taxon, lt.grp, v, n, q1, med, q3, v BETWEEN q1 - 1.5e0 * (q3 - q1) AND q3 + 1.5e0 * (q3 - q1) AS i FROM lt JOIN q USING (taxon, grp)) JOIN pos USING (taxon) GROUP BY taxon, grp, n, q1, med, q3, position""", ["totals", "samples", "taxonomy"])
 def _(spark, sf):
     return rounded(_profiles(spark, sf)["boxes"].withColumn("position", F.col("position").cast("bigint")))
 

@@ -88,16 +88,15 @@ def _(spark, sf):
 
 _TAXA = """taxa AS (SELECT s.sample, s.grp, s.timepoint, s.sex, t.taxon, COALESCE(r.v, 0) AS v
     FROM samples s CROSS JOIN (SELECT DISTINCT genus AS taxon FROM taxonomy) t
-    LEFT JOIN (SELECT sample, genus AS taxon, SUM(rel_abund) AS v FROM rel JOIN taxonomy USING (feature) GROUP BY 1, 2) r
+    LEFT JOIN (SELECT sample, genus AS taxon, 100 * SUM(value) / any_value(total) AS v FROM abundance JOIN totals USING (sample) JOIN taxonomy USING (feature) GROUP BY 1, 2) r
     ON r.sample = s.sample AND r.taxon = t.taxon)"""
-_RTV = ["rel", "samples", "taxonomy"]
+_RTV = ["totals", "samples", "taxonomy"]
 
 
 def taxon_counts(spark, sf, level="genus", context=()):
     """Weighted values of every taxon and group, zeros completed by count."""
     who = samples(spark, sf).select("sample", "grp", *context)
-    rel = normalize.relative_abundance(abundance(spark, sf), 100.0)
-    taxa = normalize.collapse(rel, taxonomy(spark, sf), level, "rel_abund").join(who, "sample")
+    taxa = normalize.taxon_shares(abundance(spark, sf), taxonomy(spark, sf), level, 100.0).join(who, "sample")
     counts = ranktests.group_counts(taxa, [*context, "taxon"], "rel_abund", "grp")
     sizes = who.groupBy(*context, "grp").agg(F.count(F.lit(1)).alias("size"))
     return ranktests.add_implicit_zeros(counts, sizes, list(context), "taxon", "rel_abund", "grp")

@@ -77,7 +77,7 @@ def standardize(ab: DataFrame, method: str, log_base: float = 2.0) -> DataFrame:
         return done(rows, F.sqrt(grand) * ratio(v, F.col("_row") * F.sqrt("_col")))
 
     stats = ab.groupBy("feature").agg(
-        F.sum(v).alias("_sum"), F.sum(v * v).alias("_sq"), F.min(v).alias("_min"),
+        F.sum(v).alias("_sum"), F.avg(v).alias("_mean"), F.var_pop(v).alias("_var"), F.min(v).alias("_min"),
         F.max(v).alias("_max"), F.count(F.lit(1)).alias("_stored"),
         F.sum((v != 0).cast("bigint")).alias("_nonzero"))
     n = ab.select("sample").distinct().agg(F.count(F.lit(1))).scalar()
@@ -91,8 +91,11 @@ def standardize(ab: DataFrame, method: str, log_base: float = 2.0) -> DataFrame:
         return done(rows, ratio(v * F.col("_nonzero"), F.col("_sum")))
     if method == "range":
         return done(rows, ratio(v - low, high - low), ratio(-low, high - low))
-    mean = F.col("_sum") / F.col("_n")
-    var = F.greatest(ratio(F.col("_sq") - F.col("_sum") * mean, F.col("_n") - 1), zero)
+    # the stored cells' moments merged with those of the implicit zeros: no difference of large sums
+    share = F.col("_stored") / F.col("_n")
+    mean = F.col("_mean") * share
+    squares = F.col("_stored") * (F.col("_var") + F.col("_mean") * F.col("_mean") * (F.lit(1.0) - share))
+    var = ratio(squares, F.col("_n") - 1)
     return done(rows, ratio(v - mean, F.sqrt(var)), ratio(-mean, F.sqrt(var)))
 
 
@@ -107,6 +110,19 @@ def collapse(ab: DataFrame, taxonomy: DataFrame, level: str, value: str = "value
             .agg(F.sum(value).alias(value)))
 
 
+def taxon_shares(ab: DataFrame, taxonomy: DataFrame, level: str, scale: float = 1.0) -> DataFrame:
+    """Share of each taxon of a rank in its sample: ``sample, taxon, rel_abund``.
+
+    Counts are summed exactly (as decimals) and divided once by the sample's exact total, so the value
+    does not depend on the order of the rows and equal counts tie. Null where the total is zero.
+    """
+    exact = F.col("value").cast("decimal(38,15)")
+    totals = ab.groupBy("sample").agg(F.sum(exact).cast("double").alias("_total"))
+    taxa = collapse(ab.withColumn("value", exact), taxonomy, level)
+    return taxa.join(totals, "sample").select("sample", "taxon", ratio(
+        F.lit(float(scale)) * F.col("value").cast("double"), F.col("_total")).alias("rel_abund"))
+
+
 def taxonomy_long(taxonomy: DataFrame, ranks: Sequence[str]) -> DataFrame:
     """One row per (feature, level, taxon)."""
     return taxonomy.unpivot(["feature"], list(ranks), "level", "taxon")

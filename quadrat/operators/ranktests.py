@@ -12,7 +12,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrat.functions.columns import ratio
@@ -25,7 +25,6 @@ EXACT_BELOW = 50
 SHIFT_CELLS = 4_000_000
 _TRIALS = 15          # trial values per bracket and round
 _SEARCH_ROUNDS = 12   # 16^12 > 2^47: brackets end at the precision of the values
-_MAX_LEVELS = 1000
 
 
 def group_counts(df: DataFrame, keys: Sequence[str], value: str, group: str,
@@ -87,39 +86,53 @@ def kruskal(df: DataFrame, keys: Sequence[str], value: str, group: str,
 
 
 def rank_sum_null(m: int, n: int) -> np.ndarray:
-    """P(U <= u) for u = 0..m*n, all arrangements equally likely."""
-    ways = np.zeros((m + 1, m * n + 1))
-    ways[0, 0] = 1.0
-    for rank in range(1, m + n + 1):  # choose m of the ranks; U = sum(rank) - m(m+1)/2
-        for k in range(min(rank, m), 0, -1):
-            shift = rank - k
-            if shift <= m * n:
-                ways[k, shift:] += ways[k - 1, : m * n + 1 - shift]
-    return np.cumsum(ways[m]) / ways[m].sum()
+    """P(U <= u) for u = 0..m*n, all arrangements equally likely.
+
+    The numbers of arrangements are the coefficients of the product of (1 - x^(n+i)) / (1 - x^i), i = 1..m.
+    They are built factor by factor as probabilities, which cannot overflow, for the lower half of u; the
+    upper half is its mirror image. Memory is one number per u.
+    """
+    m, n = min(m, n), max(m, n)
+    half = m * n // 2 + 1
+    p = np.zeros(half)
+    p[0] = 1.0
+    for i in range(1, m + 1):
+        if n + i < half:
+            p[n + i:] -= p[:half - n - i].copy()
+        for start in range(min(i, half)):
+            p[start::i] = np.cumsum(p[start::i])
+        p *= i / (n + i)
+    p = np.maximum(p, 0.0)
+    whole = np.concatenate([p, p[:m * n + 1 - half][::-1]])
+    return np.minimum(np.cumsum(whole) / whole.sum(), 1.0)
 
 
 def _null_tables(pdf: pd.DataFrame) -> pd.DataFrame:
-    m, n = int(pdf["m"].iloc[0]), int(pdf["k"].iloc[0])
+    m, n = int(pdf["_m"].iloc[0]), int(pdf["_k"].iloc[0])
     cdf = rank_sum_null(m, n)
-    return pd.DataFrame({"m": m, "k": n, "_u": np.arange(len(cdf)), "_cdf": cdf})
+    return pd.DataFrame({"_m": m, "_k": n, "_u": np.arange(len(cdf)), "_cdf": cdf})
 
 
-def level_pairs(df: DataFrame, group: str, pairs="all", levels: Sequence[str] | None = None):
-    """The list of (first, second) level pairs to test.
+def level_pairs(df: DataFrame, group: str, pairs="all", levels: Sequence[str] | None = None) -> DataFrame:
+    """Table of the level pairs to test: ``group1, group2``.
 
     ``"all"``: first is the later level, second the earlier one. A single level
     name is a reference: it comes first. A list of pairs is taken as given.
     """
+    spark, kind = df.sparkSession, df.schema[group].dataType.simpleString()
     if not isinstance(pairs, str):
-        return [tuple(p) for p in pairs]
+        return spark.createDataFrame([tuple(p) for p in pairs], f"group1 {kind}, group2 {kind}")
     if levels is None:
-        found = df.select(group).filter(F.col(group).isNotNull()).distinct().limit(_MAX_LEVELS + 1)
-        levels = sorted(r[0] for r in found.collect())
-        if len(levels) > _MAX_LEVELS:
-            raise ValueError(f"{group} has more than {_MAX_LEVELS} levels; pass the pairs to test")
+        known = df.filter(F.col(group).isNotNull()).agg(F.sort_array(F.collect_set(group)).alias("_l"))
+    else:
+        known = spark.createDataFrame([(list(levels),)], f"_l array<{kind}>")
     if pairs == "all":
-        return [(b, a) for i, a in enumerate(levels) for b in levels[i + 1:]]
-    return [(pairs, other) for other in levels if other != pairs]
+        every = F.flatten(F.transform("_l", lambda x, i: F.transform(
+            F.slice("_l", i + 2, F.size("_l")), lambda y: F.struct(y.alias("group1"), x.alias("group2")))))
+    else:
+        every = F.transform(F.filter("_l", lambda x: x != F.lit(pairs)), lambda x: F.struct(
+            F.lit(pairs).cast(kind).alias("group1"), x.alias("group2")))
+    return known.select(F.inline(every))
 
 
 def rank_sum(df: DataFrame, keys: Sequence[str], value: str, group: str, pairs="all",
@@ -136,22 +149,20 @@ def rank_sum(df: DataFrame, keys: Sequence[str], value: str, group: str, pairs="
     conf_low, conf_high`` (location shift).
     """
     keys = list(keys)
-    wanted = level_pairs(df, group, pairs, levels)
-    kind = df.schema[group].dataType.simpleString()
-    sides = df.sparkSession.createDataFrame(
-        [(p[side], i == 0, *p) for p in wanted for i, side in enumerate((0, 1))],
-        f"{group} {kind}, _first boolean, group1 {kind}, group2 {kind}")
+    sides = level_pairs(df, group, pairs, levels).select("group1", "group2", F.inline(F.array(
+        F.struct(F.col("group1").alias(group), F.lit(True).alias("_first")),
+        F.struct(F.col("group2").alias(group), F.lit(False).alias("_first")))))
     counts = group_counts(df, keys, value, group, weight).join(sides, group)
     test = [*keys, "group1", "group2"]
     t = F.col("_ties").cast("double")
     first = F.col("_first")
     sums = positions(counts, test, value).groupBy(*test).agg(
         F.sum(F.when(first, F.col("n") * midrank())).alias("_r"),
-        F.sum(F.when(first, F.col("n"))).alias("m"),
-        F.sum(F.when(~first, F.col("n"))).alias("k"),
+        F.sum(F.when(first, F.col("n"))).alias("_m"),
+        F.sum(F.when(~first, F.col("n"))).alias("_k"),
         F.sum(F.col("n") * (t * t - 1.0)).alias("_t"))
-    sums = sums.filter(F.col("m").isNotNull() & F.col("k").isNotNull())
-    m, k = F.col("m").cast("double"), F.col("k").cast("double")
+    sums = sums.filter(F.col("_m").isNotNull() & F.col("_k").isNotNull())
+    m, k = F.col("_m").cast("double"), F.col("_k").cast("double")
     u = F.col("_r") - m * (m + 1.0) / 2.0
     size = m + k
     sigma = F.sqrt(m * k / 12.0 * (size + 1.0 - ratio(F.col("_t"), size * (size - 1.0))))
@@ -161,24 +172,24 @@ def rank_sum(df: DataFrame, keys: Sequence[str], value: str, group: str, pairs="
     z = ratio(centred - shift, F.col("_sigma"))
     tail = {"two.sided": F.least(F.lit(1.0), 2.0 * normal_tail(F.abs(F.col("_z")))),
             "less": normal_tail(-F.col("_z")), "greater": normal_tail(F.col("_z"))}[alternative]
-    small = (F.col("m") < EXACT_BELOW) & (F.col("k") < EXACT_BELOW) & (F.col("_t") == 0)
+    small = (F.col("_m") < EXACT_BELOW) & (F.col("_k") < EXACT_BELOW) & (F.col("_t") == 0)
     use_exact = {"auto": small, True: F.col("_t") == 0, False: F.lit(False)}[exact]
     out = (sums.withColumns({"statistic": u, "_sigma": sigma})
            .withColumns({"_z": z, "method": F.when(use_exact, "exact").otherwise("normal")})
            .withColumn("p", F.when(F.col("_z").isNotNull(), tail)))
     if exact is not False:
         is_exact = F.col("method") == "exact"
-        grid = out.filter(is_exact).select("m", "k").distinct()
-        null = grid.groupBy("m", "k").applyInPandas(
-            _null_tables, "m bigint, k bigint, _u bigint, _cdf double")
-        mirrored = F.col("m") * F.col("k") - F.col("statistic")
+        grid = out.filter(is_exact).select("_m", "_k").distinct()
+        null = grid.groupBy("_m", "_k").applyInPandas(
+            _null_tables, "_m bigint, _k bigint, _u bigint, _cdf double")
+        mirrored = F.col("_m") * F.col("_k") - F.col("statistic")
         at = {"two.sided": F.least(F.col("statistic"), mirrored), "less": F.col("statistic"),
               "greater": mirrored}[alternative]
         sided = F.least(F.lit(1.0), 2.0 * F.col("_cdf")) if alternative == "two.sided" else F.col("_cdf")
         out = (out.withColumn("_u", F.when(is_exact, at.cast("bigint")))
-               .join(null, ["m", "k", "_u"], "left")
+               .join(null, ["_m", "_k", "_u"], "left")
                .withColumn("p", F.when(is_exact, sided).otherwise(F.col("p"))))
-    columns = [*test, F.col("m").alias("n1"), F.col("k").alias("n2"), "statistic", "p", "method"]
+    columns = [*test, F.col("_m").alias("n1"), F.col("_k").alias("n2"), "statistic", "p", "method"]
     if not detailed:
         out = out.select(*columns)
         return p_adjust(out, "p", correction, keys, bounded=True) if correction else out
@@ -280,5 +291,12 @@ def _searched_statistics(rows: DataFrame, test: list[str], value: str) -> DataFr
             *test, "_pairs", "_goal", "_rank").agg(
             F.coalesce(F.max(F.when(~reached, F.col("_t"))), F.first("_lo")).alias("_lo"),
             F.coalesce(F.min(F.when(reached, F.col("_t"))), F.first("_hi")).alias("_hi")), "brackets")
-    return state.groupBy(*test).agg(*[
-        F.max(F.when(F.col("_goal") == s, F.col("_hi"))).alias(s) for s in _STATISTICS])
+    # the bracket's upper end is a trial value: take the largest difference x - y that does not exceed it
+    met = rows.select(*test, value, "n", "_first").join(state.select(*test, "_goal", "_hi"), test)
+    at = F.when(x, F.col(value) - F.col("_hi")).otherwise(F.col(value))
+    following = Window.partitionBy(*test, "_goal").orderBy("_at", F.col("_first").desc()).rowsBetween(
+        Window.currentRow, Window.unboundedFollowing)
+    nearest = met.withColumn("_at", at).withColumn("_y", F.min(F.when(~x, F.col(value))).over(following))
+    reached = nearest.filter(x).groupBy(*test, "_goal").agg(F.max(F.col(value) - F.col("_y")).alias("_d"))
+    return reached.groupBy(*test).agg(*[
+        F.max(F.when(F.col("_goal") == s, F.col("_d"))).alias(s) for s in _STATISTICS])

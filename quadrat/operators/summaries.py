@@ -54,10 +54,13 @@ def kde(df: DataFrame, keys: Sequence[str], value: str, n: int = 512, cut: float
     quartiles = exact_quantiles(counts, keys, value, {"_q1": 0.25, "_q3": 0.75})
     v, w = F.col(value), F.col("n")
     moments = counts.groupBy(*keys).agg(
-        F.sum(w).alias("_n"), F.sum(w * v).alias("_s"), F.sum(w * v * v).alias("_ss"),
+        F.sum(w).alias("_n"), (F.sum(w * v) / F.sum(w)).alias("_mean"),
         F.min(v).alias("_min"), F.max(v).alias("_max"), F.max(F.abs(v)).alias("_abs"))
-    sd = F.sqrt(F.greatest(F.lit(0.0), ratio(
-        F.col("_ss") - F.col("_s") * F.col("_s") / F.col("_n"), F.col("_n") - 1)))
+    apart = v - F.col("_mean")  # squares of deviations, not a difference of large sums
+    squares = counts.join(moments.select(*keys, "_mean"), keys).groupBy(*keys).agg(
+        F.sum(w * apart * apart).alias("_ss"))
+    moments = moments.join(squares, keys)
+    sd = F.sqrt(ratio(F.col("_ss"), F.col("_n") - 1))
     stats = moments.join(quartiles.drop("n"), keys).withColumn("_sd", sd)
     iqr = (F.col("_q3") - F.col("_q1")) / 1.34
     low = F.least(F.col("_sd"), iqr)

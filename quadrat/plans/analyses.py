@@ -121,7 +121,7 @@ def taxon_values(ab: DataFrame, samples: DataFrame, taxonomy: DataFrame, level:
     ``samples`` may list a sample under several contexts.
     """
     chosen = ab.join(samples.select("sample"), "sample", "left_semi")
-    taxa = normalize.collapse(normalize.relative_abundance(chosen, 100.0), taxonomy, level, "rel_abund")
+    taxa = normalize.taxon_shares(chosen, taxonomy, level, 100.0)
     placed = taxa.join(samples.select("sample", "grp", *context), "sample")
     counts = ranktests.group_counts(placed, [*context, "taxon"], "rel_abund", "grp")
     sizes = samples.groupBy(*context, "grp").agg(F.count(F.lit(1)).alias("size"))
