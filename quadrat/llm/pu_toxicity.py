@@ -12,9 +12,9 @@ model is trained in numpy on the logistic loss with the risk
 the second part being the risk on negatives; where it falls below zero, the
 step goes up its gradient instead, so that it cannot be driven negative.
 
-Bounds. At most ``positives`` and ``unlabelled`` rows, chosen by a hash of
-doc_id, are used for fitting; each comes back as the numbers of its chosen
-features only. Scoring reads every row; the model has one weight a feature.
+Bounds. About ``positives`` and ``unlabelled`` rows, chosen by a hash of
+doc_id, are used for fitting, however many there are; each comes back as the
+numbers of its chosen features only. Scoring reads every row; the model has one weight a feature.
 
 Rows. A null text is empty; a text without features scores what the bias
 says. Repeated rows score the same. Without any positive all scores are 0.
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrat.llm.common import LOWER, map_rows, schema_of, texts
+from quadrat.storage import settle
 
 #: Lengths in bytes of word beginnings.
 HEADS = (4, 5, 6, 7)
@@ -125,13 +126,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn, prior: float | None = None, p
     if prior is None:
         prior = min(max(sizes[1] / sizes[0], 1e-4), 0.5)
     toxic = known.where("toxic = 1").select("doc_id", F.lit(1).alias("_positive"))
-    rows = docs.where(learn).select("doc_id", "text").join(toxic, "doc_id", "left")
-    n_p, n_u = rows.agg(F.count("_positive"), F.count(F.lit(1)) - F.count("_positive")).first()
+    ids = docs.where(learn & F.col("doc_id").isNotNull()).select("doc_id").distinct().join(toxic, "doc_id", "left")
+    n_p, n_u = ids.agg(F.count("_positive"), F.count(F.lit(1)) - F.count("_positive")).first()
     if not n_p or not n_u:
         return None
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
     part = F.when(F.col("_positive") == 1, F.lit(positives / n_p)).otherwise(F.lit(unlabelled / n_u))
-    sample = texts(rows.where(draw < part), F.coalesce("_positive", F.lit(0)).alias("positive"))
+    drawn = settle(ids.where(draw < part).select("doc_id", F.coalesce("_positive", F.lit(0)).alias("positive")), "drawn")
+    # the drawn ids are about ``positives + unlabelled`` however many documents there are
+    sample = settle(texts(docs).join(F.broadcast(drawn), "doc_id"), "sample")
 
     def count_features():
         def count(batch):
