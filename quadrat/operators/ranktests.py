@@ -104,7 +104,8 @@ def rank_sum_null(m: int, n: int) -> np.ndarray:
         p *= i / (n + i)
     p = np.maximum(p, 0.0)
     whole = np.concatenate([p, p[:m * n + 1 - half][::-1]])
-    return np.minimum(np.cumsum(whole) / whole.sum(), 1.0)
+    upto = np.cumsum(whole)
+    return upto / upto[-1]
 
 
 def _null_tables(pdf: pd.DataFrame) -> pd.DataFrame:

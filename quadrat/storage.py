@@ -8,6 +8,8 @@ its true size, so Catalyst can decide on a broadcast from a checked number.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +26,7 @@ def scratch_root(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_SETTING} to a folder that all executors can reach")
     root = tempfile.mkdtemp(prefix="quadrat-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)  # only what was made here
     spark.conf.set(_SETTING, root)
     return root
 
