@@ -67,6 +67,16 @@ def _(spark, sf):
     return rounded(out["trajectory"])
 
 
+@query("analysis_divergence_boxes", f"""WITH {_DIVERGE}, q AS (SELECT slice, timepoint, grp, COUNT(*) AS n, quantile_cont(d, 0.25) AS q1, quantile_cont(d, 0.5) AS med, quantile_cont(d, 0.75) AS q3 FROM dv GROUP BY 1, 2, 3)
+    SELECT slice, timepoint, grp, n, round(MIN(d) FILTER (i), 6) AS lower, round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3,
+      round(MAX(d) FILTER (i), 6) AS upper, COUNT(*) FILTER (NOT i) AS outliers
+    FROM (SELECT dv.*, n, q1, med, q3, d BETWEEN q1 - 1.5e0 * (q3 - q1) AND q3 + 1.5e0 * (q3 - q1) AS i FROM dv JOIN q USING (slice, timepoint, grp))
+    GROUP BY slice, timepoint, grp, n, q1, med, q3""", ["bray", "samples"])
+def _(spark, sf):
+    out = plans.divergence_from_baseline(abundance(spark, sf), samples(spark, sf), REF, LEVELS, OUT)
+    return rounded(out["boxes"])
+
+
 _SQUARE = """bray0 AS (SELECT a, b, d FROM bray JOIN samples x ON x.sample = a AND x.day = 0 JOIN samples y ON y.sample = b AND y.day = 0),
     sq AS (SELECT a AS sample, b AS feature, d AS value FROM bray0 UNION ALL SELECT b, a, d FROM bray0), sqt AS (SELECT sample, SUM(value) AS total FROM sq GROUP BY 1),
     bb AS (SELECT p.sample AS a, q.sample AS b, 1 - 2 * SUM(least(p.value, q.value)) / any_value(x.total + y.total) AS d FROM sq p JOIN sq q ON p.feature = q.feature AND p.sample < q.sample
@@ -121,16 +131,29 @@ _WTAXA = f"""ws AS (SELECT win, s.* FROM samples s JOIN ({_WIN}) USING (timepoin
 _ALPHA = 0.9  # the fixture data has no real group effect; a wide level keeps rows to compare
 
 
-@query("analysis_differential_taxa", f"""WITH {_LV}, {_WTAXA}, kw AS ({sql_kruskal('taxa', 'sex, win, taxon', 'v', 'grp')}), ka AS ({sql_bh('kw', 'p', 'sex, win')}),
+_DIFFERENTIAL = f"""WITH {_LV}, {_WTAXA}, kw AS ({sql_kruskal('taxa', 'sex, win, taxon', 'v', 'grp')}), ka AS ({sql_bh('kw', 'p', 'sex, win')}),
     hits AS (SELECT sex, win, taxon, p_adj AS p_experiment FROM ka WHERE p_adj < {_ALPHA}), ht AS (SELECT taxa.* FROM taxa JOIN hits USING (sex, win, taxon)),
     w AS ({sql_wilcox('ht', 'sex, win, taxon', 'v', 'grp', _ALLPAIRS)}), wa AS ({sql_bh('w', 'p', 'sex, win, taxon')})
     SELECT sex, win AS window, taxon, group1, group2, round(p_experiment, 6) AS p_experiment, round(p_adj, 6) AS p_adj FROM wa JOIN hits USING (sex, win, taxon)
-    WHERE p_adj < {_ALPHA} AND group2 = '{REF}'""", ["totals", "samples", "taxonomy"])
+    WHERE p_adj < {_ALPHA} AND group2 = '{REF}'"""
+
+
+@query("analysis_differential_taxa", _DIFFERENTIAL, ["totals", "samples", "taxonomy"])
 def _(spark, sf):
     return rounded(plans.differential_taxa(abundance(spark, sf), samples(spark, sf), taxonomy(spark, sf), "genus",
                                            WINDOWS, REF, LEVELS, _ALPHA))
 
 
+_EARLY = tuple(WINDOWS)[:3]
+
+
+@query("analysis_union_of_windows", f"SELECT DISTINCT taxon FROM ({_DIFFERENTIAL}) WHERE sex = 'M' AND \"window\" IN {_EARLY}", ["totals", "samples", "taxonomy"])
+def _(spark, sf):
+    hits = plans.differential_taxa(abundance(spark, sf), samples(spark, sf), taxonomy(spark, sf), "genus", WINDOWS, REF,
+                                   LEVELS, _ALPHA)
+    return plans.union_of_windows(hits, _EARLY, "M")
+
+
 _MTAXA = """ms AS (SELECT * FROM samples WHERE sex = 'M'),
     taxa AS (SELECT s.*, t.taxon, COALESCE(r.v, 0) AS v FROM ms s CROSS JOIN (SELECT DISTINCT phylum AS taxon FROM taxonomy) t
     LEFT JOIN (SELECT sample, phylum AS taxon, 100 * SUM(value) / any_value(total) AS v FROM abundance JOIN totals USING (sample) JOIN taxonomy USING (feature) GROUP BY 1, 2) r ON r.sample = s.sample AND r.taxon = t.taxon),

@@ -155,14 +155,19 @@ def _(spark, sf):
     return rounded(out.withColumn("label", p_symbol(F.col("p"))))
 
 
-@query("wilcox_location_shift", """WITH dv AS (SELECT timepoint, grp, shannon FROM shannon JOIN samples USING (sample)),
+@query("wilcox_location_shift", f"""WITH RECURSIVE {_GS}, {sql_nulls(_SIZES)}, dv AS (SELECT timepoint, grp, shannon FROM shannon JOIN samples USING (sample)),
+    cut AS (SELECT nm, nk, greatest(1, COUNT(*) FILTER (cdf < 0.025)) AS q FROM nulls GROUP BY 1, 2),
     dd AS (SELECT x.timepoint, x.grp AS group1, y.grp AS group2, x.shannon - y.shannon AS d FROM dv x JOIN dv y ON x.timepoint = y.timepoint
-      WHERE x.grp = 'AFRICA' AND y.grp <> 'AFRICA')
-    SELECT timepoint, group1, group2, round(median(d), 6) AS estimate FROM dd GROUP BY 1, 2, 3""", ["shannon", "samples"])
+      WHERE x.grp = 'AFRICA' AND y.grp <> 'AFRICA'),
+    placed AS (SELECT dd.*, ROW_NUMBER() OVER (PARTITION BY dd.timepoint, group1, group2 ORDER BY d) AS r, gx.c * gy.c AS pairs, q FROM dd
+      JOIN gs gx ON gx.timepoint = dd.timepoint AND gx.grp = group1 JOIN gs gy ON gy.timepoint = dd.timepoint AND gy.grp = group2
+      JOIN cut ON nm = gx.c AND nk = gy.c)
+    SELECT timepoint, group1, group2, round(median(d), 6) AS estimate, round(MAX(d) FILTER (r = q), 6) AS conf_low,
+      round(MAX(d) FILTER (r = pairs + 1 - q), 6) AS conf_high FROM placed GROUP BY 1, 2, 3""", ["shannon", "samples"])
 def _(spark, sf):
     div = diversity.alpha_diversity(abundance(spark, sf), ["shannon"]).join(samples(spark, sf), "sample")
     out = ranktests.rank_sum(div, ["timepoint"], "shannon", "grp", REF, LEVELS, detailed=True)
-    return rounded(out.select("timepoint", "group1", "group2", "estimate"))
+    return rounded(out.select("timepoint", "group1", "group2", "estimate", "conf_low", "conf_high"))
 
 
 @query("bh_one_family", f"""WITH pv AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN NULL ELSE (o_orderkey * 7919 % 100003) / 100003e0 END AS p FROM orders),
@@ -203,11 +208,11 @@ def _(spark, sf):
 
 @query("kernel_density", """WITH s AS (SELECT event_type, COUNT(*) AS n, min(value) AS lo, max(value) AS hi,
       0.9e0 * least(stddev_samp(value), (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34) * pow(COUNT(*), -0.2) AS bw FROM events GROUP BY 1),
-    g AS (SELECT *, lo - 3 * bw + point * ((hi + 3 * bw) - (lo - 3 * bw)) / 63e0 AS x FROM s, (SELECT unnest(range(0, 64)) AS point))
+    g AS (SELECT *, lo - 3 * bw + point * ((hi + 3 * bw) - (lo - 3 * bw)) / 511e0 AS x FROM s, (SELECT unnest(range(0, 512)) AS point))
     SELECT g.event_type, CAST(point AS INT) AS point, round(x, 6) AS x, round(SUM(exp(-0.5 * ((x - value) / bw) * ((x - value) / bw))) / (sqrt(2 * pi()) * bw * n), 6) AS density
     FROM g JOIN events e ON e.event_type = g.event_type GROUP BY g.event_type, point, x, bw, n""")
 def _(spark, sf):
-    return rounded(summaries.kde(table(spark, sf, "events"), ["event_type"], "value", n=64))
+    return rounded(summaries.kde(table(spark, sf, "events"), ["event_type"], "value"))
 
 
 @query("prevalent_taxa", f"""WITH {_TAXA} SELECT taxon, round(MAX(m), 6) AS median FROM (SELECT taxon, grp, median(v) AS m FROM taxa GROUP BY 1, 2) GROUP BY 1 HAVING MAX(m) >= 4""", _RTV)
