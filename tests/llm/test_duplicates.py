@@ -175,3 +175,28 @@ def test_i_match(spark):
     assert i_match.lexicon(docs.limit(0)) == []
     one = i_match.edited_pairs(frame(spark, [(3, "alone here")]), []).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def test_pieces_left_out_share_no_window():
+    rng = random.Random(11)
+    window = suffix_dedup.WINDOW
+    base = [bytes(rng.choices(b"abcdefg ", k=400)) for _ in range(3)]
+    texts = []
+    for _ in range(60):
+        text = bytearray(rng.choice(base))
+        for _ in range(rng.randint(0, 6)):
+            text[rng.randrange(len(text))] = rng.choice(b"xyz")
+        texts.append(bytes(text[rng.randint(0, 40):]))
+    of, first, size, key = suffix_dedup.runs_of(texts)
+    pieces, keys = [], []
+    for i, f, n, k in zip(of.tolist(), first.tolist(), size.tolist(), key):
+        piece = texts[i][f:f + n + window - 1]
+        if piece not in pieces:
+            pieces.append(piece)
+            keys.append(k)
+    kept = suffix_dedup.may_share(pieces, np.array(keys, np.uint64))
+    parts = [{p[k:k + window] for k in range(len(p) - window + 1)} for p in pieces]
+    for i, own in enumerate(parts):
+        if not kept[i]:
+            assert not any(own & other for j, other in enumerate(parts) if j != i)
+    assert kept.any() and not kept.all()
