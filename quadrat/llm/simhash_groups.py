@@ -1,4 +1,4 @@
-"""Groups of near copies: SimHash candidates from the Gray index, verified on word shingles.
+"""Groups of near copies: candidates from the Gray index and from rare shingles, verified on word shingles.
 
 Texts with the same words in the same order are one entry. Its fingerprint is
 taken of its different long words: common short words would make all texts of
@@ -10,8 +10,15 @@ similarity of 0.8 or more. A large set is cut into tiles of two parts, so that
 no task holds more than two parts of it; a tile counts shared shingles by an
 inverted list and returns a spanning forest of its links.
 
-On texts of the kind at hand the candidates hold over nine tenths of the pairs
-at 0.8 and nearly all above 0.85; no pair below 0.8 is ever linked.
+The index misses pairs, above all of texts with few long words. A prefix filter
+finds the rest: in any fixed order of the shingles, two sets of n or more that
+reach the similarity share one of the first n - ceil(0.8 n) + 1. The order is by
+frequency in a sample (rare first), then by hash. Entries that share such a
+shingle and are not connected yet are compared: first by bounds on sizes, places
+and a parity sketch of 1,024 bits, none of which drops a pair at 0.8, then by
+their sets. Where a shingle would give many pairs, all its entries are compared
+with one of them first, and pairs are made of what is still apart. So the groups
+are the connected sets of all pairs at 0.8 or more, and of no others.
 
 Rows. A null or wordless text is one entry with all others such, without
 shingles. Rows of one doc_id stay or go together, by the first of them. A null
@@ -21,6 +28,7 @@ an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -38,6 +46,12 @@ LONG_WORD, DISTANCE = 9, 7
 SHINGLE, SIMILARITY = 5, 0.8
 #: Entries per part of a candidate set.
 PART = 800
+#: Texts whose shingles are counted for the order, slots of the counts (bits of a hash), least count that matters.
+SAMPLED, SLOT_BITS, LEAST_COUNT = 20_000, 22, 8
+#: Bits of a parity sketch.
+SKETCH = 1_024
+#: Pairs per posting from which entries are first compared with one of them.
+PAIRS_A_POSTING = 4
 
 
 def entries(docs: DataFrame) -> DataFrame:
@@ -73,31 +87,164 @@ def links(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return labels
 
 
+def rarity(docs: DataFrame) -> np.ndarray:
+    """log2 of the sampled frequency by the first bits of a shingle's hash; 0 below ``LEAST_COUNT``."""
+    total = max(docs.count(), 1)
+    sample = texts(docs).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < (1 << 20) * SAMPLED / total)
+
+    def count(batches):
+        slots = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                for text in batch.column(0).slice(at, 256).to_pylist():
+                    own = np.unique(shingle_hashes(words(text), SHINGLE))
+                    np.add.at(slots, (own >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
+        at = np.flatnonzero(slots > 1)  # any order will do; what is frequent is so in most tasks
+        for i in range(0, len(at), 100_000):
+            part = at[i:i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(slots[part])], ["slot", "n"])
+    often = sample.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(
+        F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT).toArrow()
+    weight = np.zeros(1 << SLOT_BITS, np.uint8)
+    weight[often["slot"].to_numpy()] = np.log2(often["n"].to_numpy().astype(np.float64)).astype(np.uint8)
+    return weight
+
+
+def prefix(shingles: np.ndarray, weight: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of the different shingles, in the order rare to frequent, one of which every set as alike shares."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    order = np.lexsort((shingles, weight[(shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))
+    return shingles[order[:n - max(1, math.ceil(similarity * n - 1e-9)) + 1]]
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parities of the hashes by ``SKETCH`` slots: two sets differ in at least as many elements as sketches in bits."""
+    slots = np.bincount((shingles % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+    return np.packbits((slots & 1).astype(np.uint8)).tobytes()
+
+
+def with_texts(docs: DataFrame, first: DataFrame, schema: str, make) -> DataFrame:
+    """Rows that ``make()(entry, different shingles)`` gives for the entries of ``first``; ``make`` runs once per task."""
+    def run():
+        fn = make()
+
+        def rows(batch):
+            for e, key, text in zip(batch["e"], batch["words_hash"], batch["text"]):
+                tokens = words(text)
+                if tokens and xxhash.xxh3_128_digest(b" ".join(tokens)) == key:
+                    yield from fn(e, np.unique(shingle_hashes(tokens, SHINGLE)))
+        return rows
+    own = first.where("lead IS NOT NULL").select(F.col("lead").alias("doc_id"), "e", "words_hash")
+    rows = texts(docs).join(own, "doc_id").select("e", "words_hash", "text")
+    return map_rows(rows, T.StructType.fromDDL(schema), run, 128)
+
+
+def verified(docs: DataFrame, first: DataFrame, pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b of entries that reach the similarity."""
+    def close(batches):
+        for batch in batches:
+            x, y = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH // 8) for i in (2, 3)]
+            size = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            kept = np.flatnonzero(apart <= (1 - similarity) / (1 + similarity) * size + 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], ["a", "b"])
+    left = sketches.select(F.col("e").alias("a"), F.col("sketch").alias("x"), F.col("n").alias("n_a"))
+    right = sketches.select(F.col("e").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("n_b"))
+    near = settle(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "n_a", "n_b").mapInArrow(
+        close, "a long, b long"), "bounded").distinct()
+    needed = near.select(F.col("a").alias("e")).unionByName(near.select(F.col("b").alias("e"))).distinct()
+    sets = settle(with_texts(docs, first.join(needed, "e"), "e long, shingles binary",
+                             lambda: lambda e, own: [(e, own.tobytes())]).dropDuplicates(["e"]), "compared")
+
+    def compare(batches):
+        for batch in batches:
+            kept = []
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in (2, 3))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if shared and shared >= similarity * (len(x) + len(y) - shared) - 1e-9:
+                    kept.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())),
+                                              batch.column(1).take(pa.array(kept, pa.int64()))], ["a", "b"])
+    x = sets.select(F.col("e").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("e").alias("b"), F.col("shingles").alias("y"))
+    return near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def labelled(first: DataFrame, edges: DataFrame) -> DataFrame:
+    """e, c of every entry: c is the smallest entry connected with it."""
+    joined = components(edges).select(F.col("node").alias("e"), F.col("component").alias("c"))
+    return settle(first.select("e").join(joined, "e", "left").withColumn("c", F.coalesce("c", "e")), "labels")
+
+
+def missed(docs: DataFrame, first: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
+    """``edges`` and further pairs of entries at the similarity, so that all such pairs are connected."""
+    weight = docs.sparkSession.sparkContext.broadcast(rarity(docs))
+
+    def make():
+        def postings(e, own):
+            parity = sketch(own)
+            for place, h in enumerate(prefix(own, weight.value, similarity).view(np.int64).tolist()):
+                yield h, e, len(own), place, None if place else parity
+        return postings
+    dealt = settle(with_texts(docs, first, "h long, e long, n int, place int, sketch binary", make), "postings")
+    sketches = dealt.where("place = 0").select("e", "n", "sketch").dropDuplicates(["e"])
+    labels = labelled(first, edges)
+    postings = dealt.drop("sketch").join(labels, "e")
+    before = None
+    while True:
+        apart = postings.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+        postings = settle(postings.join(apart.select("h"), "h").select("h", "e", "n", "place", "c").distinct(), "shared")
+        many = postings.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(
+            F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"))
+        n, crossing = many.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("same")) / 2)).first()
+        if not n:
+            return edges
+        whole = crossing <= PAIRS_A_POSTING * n or (before is not None and crossing > before / 2)
+        a = postings
+        if not whole:  # one entry of every shingle instead of all, another one each round
+            a = a.groupBy("h").agg(F.min_by(F.struct("e", "n", "place", "c"), F.xxhash64("e", F.lit(crossing))).alias("one"))
+            a = a.select("h", "one.*")
+        a = a.select("h", *[F.col(x).alias(f"{x}_a") for x in ("e", "n", "place", "c")])
+        pairs = a.join(postings, "h").where("c_a < c" if whole else "c_a <> c")
+        # what both have of shared shingles, at most, from here on or (were it not the first) before
+        most = F.least("place_a", "place") + F.least(F.col("n_a") - F.col("place_a"), F.col("n") - F.col("place"))
+        pairs = pairs.where(most >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n")) - 1e-6)
+        pairs = settle(pairs.select(F.least("e_a", "e").alias("a"), F.greatest("e_a", "e").alias("b")).distinct(), "pairs")
+        more = settle(verified(docs, first, pairs, sketches, similarity), "more")
+        edges = edges.unionByName(more)
+        if whole:
+            return edges
+        before = crossing
+        postings = postings.drop("c").join(labelled(first, edges), "e")
+
+
 def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id: the smallest doc_id of its group of copies and near copies."""
     found = settle(entries(docs), "entries")
-    first = settle(found.groupBy("words_hash").agg(F.min("doc_id").alias("lead"), F.first("fp").alias("fp")), "leads")
+    first = settle(found.groupBy("words_hash").agg(F.min("doc_id").alias("lead"), F.first("fp").alias("fp")).withColumn(
+        "e", F.monotonically_increasing_id()), "leads")
     edges = settle(forest(first.select("fp").distinct(), DISTANCE), "candidates")
     code = components(edges).select(F.col("node").alias("fp"), F.col("component").alias("code"))
     sets = first.where("lead IS NOT NULL").join(code, "fp", "left").withColumn("code", F.coalesce("code", "fp"))
     sizes = sets.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     chosen = settle(sets.join(sizes, "code").select(
-        F.col("lead").alias("doc_id"), "words_hash", "code", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "sets")
+        F.col("lead").alias("doc_id"), "e", "words_hash", "code", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "sets")
 
     def shingle():
         def rows(batch):
-            for code, parts, key, doc, text in zip(*[batch[c] for c in ("code", "parts", "words_hash", "doc_id", "text")]):
+            for code, parts, e, key, text in zip(*[batch[c] for c in ("code", "parts", "e", "words_hash", "text")]):
                 part = int.from_bytes(key[:4], "little") % parts
                 tokens = words(text)
                 if tokens and xxhash.xxh3_128_digest(b" ".join(tokens)) == key:
                     own = np.unique(shingle_hashes(tokens, SHINGLE)).tobytes()
                     for other in range(parts):
-                        yield code, min(part, other), max(part, other), doc, own
+                        yield code, min(part, other), max(part, other), e, own
         return rows
-    rows = texts(docs).join(chosen, "doc_id").select("code", "parts", "words_hash", "doc_id", "text")
-    tiles = map_rows(rows, T.StructType([
-        T.StructField("code", T.LongType()), T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType()),
-        T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("shingles", T.BinaryType())]), shingle)
+    rows = texts(docs).join(chosen, "doc_id").select("code", "parts", "e", "words_hash", "text")
+    tiles = map_rows(rows, T.StructType.fromDDL("code long, x int, y int, e long, shingles binary"), shingle)
 
     def verify(batches):
         tile, ids, held = None, [], []
@@ -109,24 +256,23 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in moved]),
                                                   pa.array([ids[labels[i]] for i in moved])], ["a", "b"])
         for batch in batches:
-            for *at, doc, data in zip(*[c.to_pylist() for c in batch.columns]):
+            for *at, e, data in zip(*[c.to_pylist() for c in batch.columns]):
                 if at != tile:
                     if len(held) > 1:
                         yield from edges_of()
                     tile, ids, held = at, [], []
-                if not ids or ids[-1] != doc:  # a repeated row
-                    ids.append(doc)
+                if not ids or ids[-1] != e:  # a repeated row
+                    ids.append(e)
                     held.append(np.frombuffer(data, np.uint64))
         if len(held) > 1:
             yield from edges_of()
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    near = tiles.repartition("code", "x", "y").sortWithinPartitions("code", "x", "y", "doc_id").mapInArrow(
-        verify, f"a {id_type}, b {id_type}")
-    joined = components(settle(near.distinct(), "near")).select(
-        F.col("node").alias("lead"), F.col("component").alias("component_id"))
-    led = first.select("words_hash", "lead").join(joined, "lead", "left").select(
-        "words_hash", F.coalesce("component_id", "lead").alias("component_id"))
+    near = settle(tiles.repartition("code", "x", "y").sortWithinPartitions("code", "x", "y", "e").mapInArrow(
+        verify, "a long, b long").distinct(), "near")
+    labels = labelled(first, missed(docs, first, near, similarity))
+    named = first.select("e", "words_hash", "lead").join(labels, "e")
+    least = named.groupBy("c").agg(F.min("lead").alias("component_id"))
+    led = named.join(least, "c").select("words_hash", "component_id")
     return found.select("doc_id", "words_hash").join(led, "words_hash").select("doc_id", "component_id")
 
 

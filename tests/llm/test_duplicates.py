@@ -103,6 +103,42 @@ def test_tiles_find_all_links(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in simhash_groups.groups(frame(spark, data)).collect()} == whole
 
 
+@pytest.mark.parametrize("pairs_a_posting", [4, 0])
+def test_groups_of_texts_with_few_long_words(spark, monkeypatch, pairs_a_posting):
+    monkeypatch.setattr(simhash_groups, "PAIRS_A_POSTING", pairs_a_posting)
+    rng = random.Random(11)
+
+    def short(n):
+        return ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(n)]
+    data = []
+    for k in range(40):
+        text = short(100)
+        data += [" ".join(text), " ".join([*text, "overlongword"])]
+        for long in range(4):
+            text = short(60)
+            for i in range(long):
+                text[15 * i + 10] = f"extraordinary{k}{long}{i}"
+            other = list(text)
+            other[25] = f"replacement{k}{long}" if long else "so"
+            data += [" ".join(text), " ".join(other)]
+    base = short(90)  # a large group
+    for k in range(60):
+        other = list(base)
+        other[rng.randrange(90)] = "".join(rng.choice("klmno") for _ in range(12 if k % 2 else 5))
+        data.append(" ".join(other))
+    data = list(enumerate(data)) + [(3, " ".join(short(30)))]  # a second text of one id
+    data[-1] = (3, data[4][1] + " again")
+    got = {(r.doc_id, r.component_id) for r in simhash_groups.groups(frame(spark, data)).collect()}
+    sets = [shingles(t) for _, t in data]
+    pairs = [(a, b) for a in range(len(data)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(pairs) > 200
+    label = connected(range(len(data)), pairs)
+    lead = {}
+    for i, c in label.items():
+        lead[c] = min(lead.get(c, data[i][0]), data[i][0])
+    assert got == {(data[i][0], lead[c]) for i, c in label.items()}
+
+
 def removed(data, window):
     first, out = {}, {}
     for i, text in sorted(data):
