@@ -4,25 +4,28 @@ Method. The lexicon is every term whose document frequency lies within a
 band of shares of all documents, that is, whose inverse document frequency is
 neither small nor large. It is thinned to random subsets at several rates: a
 term is in subset i of a rate if its hash, keyed by rate and i, is under the
-rate. A text is its distinct lexicon terms in sorted order; for every subset the
-codes of the terms in it are hashed to 32 bits; no term at all gives the empty code. The
+rate. A text is its set of lexicon terms; for every subset the hashes of the terms
+in it are summed and cut to 32 bits; no term at all gives the empty code. The same
+codes of all its terms, in the lexicon or not, follow. The
 fingerprint is the concatenation. Small changes leave the subsets they do not
 touch as they are, and the sparse rates serve long texts, the dense ones short.
 
 Likeness of two fingerprints: per rate, the share of subsets with equal codes
 among those where either is not empty; the best rate with enough such subsets
-counts. Texts without any lexicon term have the hash of their text instead and
-are alike only if equal.
+counts. Where one of the two texts has no lexicon term (texts of common or very
+rare words, copies that make up more of the documents than the upper share), the
+codes of all terms are compared. Texts without a word have the hash of their text
+instead and are alike only if equal.
 
 Scale. A document has a bounded number of terms on average, so at most
 (mean terms) / (lower share) terms are that frequent: the lexicon stays below
-that however many documents there are. It is checked against ``MAX_LEXICON``
-before it is sent to the tasks; beyond, the lower share is raised and the
-lexicon drawn again. Terms are counted with pre-aggregation in tasks.
+that however many documents there are. Tasks get eight bytes a term. Terms are
+counted with pre-aggregation in tasks.
 
 Rows. A null text is empty. Equal texts have equal fingerprints. Repeated
-rows have one each. An empty table gives an empty result. Other columns are
-not read.
+rows have one each. A null doc_id has no place in the order: such rows have a
+fingerprint, and nulls for the edited text and both likenesses. An empty table
+gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -46,7 +49,6 @@ from quadrat.storage import settle
 
 #: Shares of documents between which a term's document frequency must lie.
 LOW, HIGH = 0.0005, 0.1
-MAX_LEXICON = 400_000
 #: Sampling rates of the lexicon, and subsets per rate.
 RATES = (1 / 2, 1 / 8, 1 / 32, 1 / 128, 1 / 512, 1 / 2048)
 SUBSETS = 16
@@ -54,6 +56,8 @@ SUBSETS = 16
 ENOUGH = 4
 EMPTY = "-" * 8
 _COUNTED_AT_ONCE = 400_000
+#: Terms whose membership a task remembers.
+_REMEMBERED = 200_000
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
@@ -83,38 +87,59 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> list[bytes
     """Terms within the band; at least two documents must have a term."""
     total = docs.count()
     counts = settle(document_frequencies(docs).where(F.col("n_docs") >= max(2, int(low * total))), "terms")
-    while True:
-        band = counts.where((F.col("n_docs") >= max(2, low * total)) & (F.col("n_docs") <= max(2, high * total)))
-        if band.count() <= MAX_LEXICON:
-            return [bytes(r.term) for r in band.select("term").orderBy("term").toLocalIterator()]
-        low *= 2
+    band = counts.where((F.col("n_docs") >= max(2, low * total)) & (F.col("n_docs") <= max(2, high * total)))
+    return [bytes(r.term) for r in band.select("term").orderBy("term").toLocalIterator()]
 
 
 class Fingerprinter:
-    def __init__(self, terms: list[bytes]):
-        self.number = {t: i for i, t in enumerate(terms)}
-        n = len(RATES) * SUBSETS
-        self.code = np.array([xxhash.xxh64_intdigest(t) for t in terms], np.uint64)
-        # membership of every term in every subset, one bit each
-        salt = np.array([zlib.crc32(f"subset {i}".encode()) for i in range(n)], np.uint64)
-        self.member = np.zeros((len(terms), n), bool)
-        for i in range(n):
-            x = (self.code ^ (salt[i] << np.uint64(20))) * np.uint64(0xBF58476D1CE4E5B9)
+    def __init__(self, lexicon: np.ndarray):
+        self.lexicon = lexicon  # ascending hashes of its terms
+        self.salt = np.array([zlib.crc32(f"subset {i}".encode()) for i in range(len(RATES) * SUBSETS)], np.uint64) << np.uint64(20)
+        self.under = np.repeat(np.array([int(r * (1 << 24)) for r in RATES], np.uint64), SUBSETS)
+        self.forget(_REMEMBERED)
+
+    def forget(self, room: int) -> None:
+        self.number: dict[bytes, int] = {}
+        self.code, self.known = np.empty(room, np.uint64), np.empty(room, bool)
+        self.packed = np.empty((room, len(self.salt) // 8), np.uint8)  # membership in every subset, one bit each
+
+    def learn(self, terms: list[bytes]) -> None:
+        for at in range(0, len(terms), 4_096):
+            part = terms[at:at + 4_096]
+            n = len(self.number)
+            rows = slice(n, n + len(part))
+            self.number.update(zip(part, range(n, n + len(part))))
+            code = np.fromiter(map(xxhash.xxh64_intdigest, part), np.uint64, len(part))
+            x = (code[:, None] ^ self.salt) * np.uint64(0xBF58476D1CE4E5B9)
             x ^= x >> np.uint64(31)
             x *= np.uint64(0x94D049BB133111EB)
-            self.member[:, i] = (x >> np.uint64(40)) < np.uint64(int(RATES[i // SUBSETS] * (1 << 24)))
-        self.packed = np.packbits(self.member, axis=1)
-        del self.member
+            self.packed[rows] = np.packbits((x >> np.uint64(40)) < self.under, axis=1)
+            self.code[rows] = code
+            place = np.searchsorted(self.lexicon, code)
+            self.known[rows] = self.lexicon[np.minimum(place, len(self.lexicon) - 1)] == code if len(self.lexicon) else False
 
     def of(self, text: bytes) -> str:
-        get = self.number.get
-        found = sorted(i for i in map(get, set(words(text))) if i is not None)  # in term order
-        if not found:
+        terms = set(words(text))
+        if not terms:
             return hashlib.md5(text).hexdigest()[:8]
-        bits = np.unpackbits(self.packed[found], axis=1, count=len(RATES) * SUBSETS).T
-        data = self.code[found][np.nonzero(bits)[1]].tobytes()  # subset by subset
-        ends = (8 * np.cumsum(bits.sum(1, dtype=np.int64))).tolist()
-        return "".join([f"{zlib.crc32(data[a:b]):08x}" if b > a else EMPTY for a, b in zip([0, *ends], ends)])
+        new = [t for t in terms if t not in self.number]
+        if len(self.number) + len(new) > len(self.code):
+            self.forget(max(_REMEMBERED, len(terms)))
+            new = list(terms)
+        self.learn(new)
+        found = np.fromiter(map(self.number.__getitem__, terms), np.int64, len(terms))
+        known = self.known[found]
+        return self.codes(found[known]) + self.codes(found)
+
+    def codes(self, found: np.ndarray) -> str:
+        total, some = np.zeros(len(self.salt), np.uint64), np.zeros(len(self.salt), bool)
+        for at in range(0, len(found), 4_096):
+            part = found[at:at + 4_096]
+            bits = np.unpackbits(self.packed[part], axis=1)
+            total += self.code[part] @ bits.astype(np.uint64)
+            some |= bits.any(0)
+        text = np.frombuffer((total >> np.uint64(32)).astype(">u4").tobytes().hex().encode(), np.uint8).reshape(-1, 8)
+        return np.where(some[:, None], text, np.uint8(ord("-"))).tobytes().decode()
 
 
 def likeness(a: str, b: str) -> float:
@@ -124,8 +149,10 @@ def likeness(a: str, b: str) -> float:
     if len(a) != len(b) or len(a) == 8:
         return 0.0
     best = 0.0
-    width = 8 * SUBSETS
-    for at in range(0, len(a), width):
+    width, half = 8 * SUBSETS, len(a) // 2
+    none = EMPTY * (len(RATES) * SUBSETS)
+    first = half if none in (a[:half], b[:half]) else 0
+    for at in range(first, first + half, width):
         pairs = [(x, y) for i in range(at, at + width, 8) if (x := a[i:i + 8]) != EMPTY or b[i:i + 8] != EMPTY
                  for y in [b[i:i + 8]]]
         if len(pairs) >= ENOUGH:
@@ -134,13 +161,14 @@ def likeness(a: str, b: str) -> float:
 
 
 @lru_cache(maxsize=1)
-def _fingerprinter(joined: bytes) -> Fingerprinter:
-    return Fingerprinter(joined.split(b"\n") if joined else [])
+def _fingerprinter(codes: bytes) -> Fingerprinter:
+    return Fingerprinter(np.frombuffer(codes, np.uint64))
 
 
 def send(docs: DataFrame, terms: list[bytes]):
-    """The lexicon (bounded, see above) for all tasks; terms hold no line feed."""
-    return docs.sparkSession.sparkContext.broadcast(b"\n".join(terms))
+    """The lexicon (bounded, see above) for all tasks, as ascending hashes."""
+    codes = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, terms), np.uint64, len(terms)))
+    return docs.sparkSession.sparkContext.broadcast(codes.tobytes())
 
 
 def fingerprints(docs: DataFrame, terms: list[bytes]) -> DataFrame:
@@ -182,7 +210,7 @@ def edited_pairs(docs: DataFrame, terms: list[bytes], share: int = 4) -> DataFra
     """Fingerprints of every document, of its edited text, and their likenesses.
 
     The edited text has its last floor(n / share) code points replaced by as many first ones of
-    the next document. Rows with a null doc_id have no place in the order and are left out;
+    the next document. Rows with a null doc_id have no place in the order and no edited text;
     documents of one doc_id follow each other in the order of their texts.
     """
     sent = send(docs, terms)
@@ -213,5 +241,11 @@ def edited_pairs(docs: DataFrame, terms: list[bytes], share: int = 4) -> DataFra
 
     dealt = with_next(docs)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // 20_000))
-    return dealt.select("doc_id", "text", "range", "lent").repartition(parts, "range").sortWithinPartitions(
+    placed = dealt.select("doc_id", "text", "range", "lent").repartition(parts, "range").sortWithinPartitions(
         "range", "lent", "doc_id", "text").mapInArrow(run, schema)
+
+    def make():
+        prints = _fingerprinter(sent.value)
+        return lambda batch: ((d, len(t.decode("utf-8", "replace")), None, prints.of(t), None, None, None)
+                              for d, t in zip(batch["doc_id"], batch["text"]))
+    return placed.unionByName(map_rows(texts(docs.where("doc_id IS NULL")), schema, make))

@@ -213,6 +213,25 @@ def test_i_match(spark):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_i_match_without_lexicon_terms(spark):
+    rng = random.Random(12)
+    copy = sentence(rng, 90)
+    data = [(i, copy if i % 3 == 0 or i < 12 else sentence(rng, rng.randint(40, 90))) for i in range(90)]
+    data += [(100 + i, " ".join(f"only{i}n{k}" for k in range(60))) for i in range(4)]
+    docs = frame(spark, [*data, (None, copy), (None, None)])
+    terms = i_match.lexicon(docs)
+    assert not set(terms) & set(words(copy.encode()))
+    rows_of = i_match.edited_pairs(docs, terms).collect()
+    got = {r.doc_id: r for r in rows_of if r.doc_id is not None}
+    for i, text in data:  # the next document brings terms of the lexicon or not
+        if text == copy or i >= 100:
+            assert got[i].near_edited > 0.1, i
+    assert all(got[i].near_next == 1.0 for i in range(11)) and got[100].near_next == 0.0
+    null = sorted((r for r in rows_of if r.doc_id is None), key=lambda r: r.n_chars)
+    assert [r.n_chars for r in null] == [0, len(copy)] and null[1].fingerprint == got[0].fingerprint
+    assert {(r.edited_sha256, r.edited_fingerprint, r.near_edited, r.near_next) for r in null} == {(None,) * 4}
+
+
 def test_pieces_left_out_share_no_window():
     rng = random.Random(11)
     window = suffix_dedup.WINDOW
