@@ -2,9 +2,11 @@
 
 Method. Confirmed toxic documents are the positives; other documents of the
 learning rows, whatever their label, are the unlabelled ones. A text is the
-set of its words and word beginnings. The features used are those whose share
-among positives exceeds most what remains of their share among unlabelled
-texts after the positives' part, by the class prior, is taken out. A linear
+set of its words and word beginnings. Equal texts count once among the positives
+and once among the unlabelled, so a text copied into many documents weighs as
+any other. The features used are all that are more than twice as frequent among
+positives and pass a likelihood-ratio test of equal shares, at a level of
+``LEVEL`` over all features of the sample together. A linear
 model is trained in numpy on the logistic loss with the risk
 
     prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1)),
@@ -24,9 +26,9 @@ an empty result. Label, language and source are no inputs of a score.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
-from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -42,8 +44,8 @@ HEADS = (4, 5, 6, 7)
 PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in LOWER)
 REMEMBERED = 200_000
 STEPS, RATE, DECAY = 400, 0.05, 1e-3
-#: A feature needs this part of the best one's merit: words of one repeated text stay out.
-LEAST_MERIT = 0.1
+#: Probability that chance alone makes any feature.
+LEVEL = 0.01
 
 
 def word_features(word: bytes) -> list[int]:
@@ -78,12 +80,16 @@ class Marks(dict):
 
 def nn_pu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk over rows of 0/1 features."""
-    x = np.vstack([positive, unlabelled]).astype(np.float64)
-    p, n = len(positive), len(unlabelled)
-    weight, bias = np.zeros(x.shape[1]), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
+    row, column = np.nonzero(np.vstack([positive, unlabelled]))
+    return fit_marks(row, column, len(positive), len(unlabelled), positive.shape[1], prior)
+
+
+def fit_marks(row: np.ndarray, column: np.ndarray, p: int, n: int, features: int, prior: float) -> tuple[np.ndarray, float]:
+    """The same from the places of the ones; the first ``p`` of the ``p + n`` rows are positive."""
+    weight, bias = np.zeros(features), float(np.log(prior / (1 - prior)))
+    m, v = np.zeros(features + 1), np.zeros(features + 1)
     for step in range(1, STEPS + 1):
-        g = x @ weight + bias
+        g = np.bincount(row, weight[column], p + n) + bias
         s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
         loss_minus = np.logaddexp(0, g)
         negative_risk = loss_minus[p:].mean() - prior * loss_minus[:p].mean()
@@ -92,29 +98,26 @@ def nn_pu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tup
             slope = -slope
         else:
             slope[:p] += prior * (s[:p] - 1) / p
-        grad = np.concatenate([x.T @ slope + DECAY * weight / len(weight), [slope.sum()]])
+        grad = np.concatenate([np.bincount(column, slope[row], features) + DECAY * weight / features, [slope.sum()]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
         weight, bias = weight - move[:-1], bias - move[-1]
     return weight, float(bias)
 
 
-def best_features(counts: Iterable[tuple[int, int, int]], positives: int, unlabelled: int, prior: float,
-                  keep: int) -> list[int]:
-    """Feature codes in order of merit from (code, positives with it, unlabelled with it)."""
-    scored = []
-    for code, p, u in counts:
-        share = p / positives
-        negative = max(0.0, (u / max(unlabelled, 1) - prior * share) / (1 - prior))
-        excess = share * np.log((share + 1 / positives) / (negative + 1 / positives))
-        if excess > 0:
-            scored.append((-excess, code))
-    scored.sort()
-    return [code for merit, code in scored[:keep] if merit <= LEAST_MERIT * scored[0][0]]
+def likelihood_ratio(positives: int, unlabelled: int):
+    """Column: twice the log likelihood ratio of different against equal shares, from counts p and u."""
+    def part(seen, of, share):
+        return F.when(seen > 0, seen * F.log(seen / (of * share))).otherwise(0.0)
+    p, u = F.col("p"), F.col("u")
+    share = (p + u) / (positives + unlabelled)
+    rest = F.lit(1) - share
+    return 2 * (part(p, positives, share) + part(u, unlabelled, share)
+                + part(positives - p, positives, rest) + part(unlabelled - u, unlabelled, rest))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn, prior: float | None = None, positives: int = 4_000,
-        unlabelled: int = 12_000, keep: int = 384) -> tuple[dict[int, int], np.ndarray, float] | None:
+        unlabelled: int = 12_000) -> tuple[dict[int, int], np.ndarray, float] | None:
     """Chosen features, weights and bias; ``learn`` is the condition (on doc_id) for learning rows.
 
     ``prior`` is the share of toxic documents; by default that of the labelled learning rows.
@@ -123,8 +126,6 @@ def fit(docs: DataFrame, labels: DataFrame, learn, prior: float | None = None, p
     sizes = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not sizes[0] or not sizes[1]:
         return None
-    if prior is None:
-        prior = min(max(sizes[1] / sizes[0], 1e-4), 0.5)
     toxic = known.where("toxic = 1").select("doc_id", F.lit(1).alias("_positive"))
     ids = docs.where(learn & F.col("doc_id").isNotNull()).select("doc_id").distinct().join(toxic, "doc_id", "left")
     n_p, n_u = ids.agg(F.count("_positive"), F.count(F.lit(1)) - F.count("_positive")).first()
@@ -134,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn, prior: float | None = None, p
     part = F.when(F.col("_positive") == 1, F.lit(positives / n_p)).otherwise(F.lit(unlabelled / n_u))
     drawn = settle(ids.where(draw < part).select("doc_id", F.coalesce("_positive", F.lit(0)).alias("positive")), "drawn")
     # the drawn ids are about ``positives + unlabelled`` however many documents there are
-    sample = settle(texts(docs).join(F.broadcast(drawn), "doc_id"), "sample")
+    sample = settle(texts(docs).join(F.broadcast(drawn), "doc_id").groupBy(F.sha2("text", 256), "positive").agg(
+        F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")).select("text", "positive", "copies"), "sample")
 
     def count_features():
         def count(batch):
@@ -146,14 +148,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn, prior: float | None = None, p
     counts = map_rows(sample, T.StructType([T.StructField(c, T.LongType()) for c in ("code", "p", "u")]),
                       count_features, 2_000)
     counts = counts.groupBy("code").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    seen_p, seen_u = (sample.agg(F.sum("positive"), F.count(F.lit(1)) - F.sum("positive")).first())
-    if not seen_p:
+    seen = {r.positive: r for r in sample.groupBy("positive").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("copies").alias("rows")).collect()}
+    if len(seen) < 2:
         return None
-    # more frequent among positives than not at all; the rest of the ranking is over a bounded number of codes
-    often = counts.where((F.col("p") >= 3) & (F.col("p") * max(seen_u, 1) > 2 * F.col("u") * seen_p)).orderBy(
-        F.desc("p"), "code").limit(20_000)
-    best = best_features([tuple(r) for r in often.collect()], seen_p, seen_u, prior, keep)
-    chosen = {code: i for i, code in enumerate(best)}
+    seen_p, seen_u = seen[1].n, seen[0].n
+    if prior is None:  # of different texts, as they are fitted
+        toxic_texts = sizes[1] / sizes[0] * seen_p / seen[1].rows
+        other_texts = (1 - sizes[1] / sizes[0]) * seen_u / seen[0].rows
+        prior = min(max(toxic_texts / (toxic_texts + other_texts), 1e-4), 0.5)
+    counts = settle(counts, "features")
+    least = 2 * math.log(max(counts.count(), 1) / LEVEL)
+    often = counts.where((F.col("p") * seen_u > 2 * F.col("u") * seen_p) & (likelihood_ratio(seen_p, seen_u) >= least))
+    chosen = {r.code: i for i, r in enumerate(often.select("code").orderBy("code").toLocalIterator())}
     if not chosen:
         return None
 
@@ -162,14 +169,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn, prior: float | None = None, p
         return lambda batch: ((marks.of(t), p) for t, p in zip(batch["text"], batch["positive"]))
     marked = map_rows(sample, T.StructType([T.StructField("marks", T.ArrayType(T.IntegerType())),
                                             T.StructField("positive", T.IntegerType())]), mark)
-    x: dict[int, list] = {0: [], 1: []}
-    for marks, positive in sorted((r.marks, r.positive) for r in marked.collect()):
-        row = np.zeros(len(chosen), np.float32)
-        row[marks] = 1
-        x[positive].append(row)
-    if not x[0] or not x[1]:
-        return None
-    weight, bias = nn_pu_fit(np.array(x[1]), np.array(x[0]), prior)
+    found = sorted(((r.positive, r.marks) for r in marked.toLocalIterator()), key=lambda x: (-x[0], x[1]))
+    row = np.repeat(np.arange(len(found)), [len(marks) for _, marks in found])
+    column = np.fromiter((i for _, marks in found for i in marks), np.int64, len(row))
+    weight, bias = fit_marks(row, column, seen_p, seen_u, len(chosen), prior)
     return chosen, weight, bias
 
 

@@ -98,6 +98,26 @@ def test_toxicity(spark):
     assert pu_toxicity.score(frame(spark, docs).limit(0), model).count() == 0
 
 
+def test_toxicity_with_a_hot_text(spark):
+    rng = random.Random(14)
+    marks = [f"{a}{b}word" for a in ("wretch", "vilest", "cursed", "foulest", "brutish") for b in "qwxyz"]
+    hot = " ".join("".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(5)) for _ in range(150))
+    docs, labels = [], []
+    for i in range(3_000):
+        text = sentence(rng, 30)
+        if i % 4 == 0:
+            text = hot if i % 12 == 0 else f"{text} {marks[i // 4 % 25]} {sentence(rng, 9)}"
+        docs.append((i, text))
+        labels.append((i, 1, int(i % 4 == 0)))
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    learn = F.col("doc_id") % 5 != 1
+    model = pu_toxicity.fit(frame(spark, docs), table, learn)
+    got = {r.doc_id: r.score for r in pu_toxicity.score(frame(spark, docs), model).collect()}
+    held = [i for i, _ in docs if i % 5 == 1]
+    assert sum(got[i] >= 0.7 for i in held if i % 4 == 0 and i % 12) >= 0.95 * sum(i % 4 == 0 and i % 12 > 0 for i in held)
+    assert sum(got[i] >= 0.7 for i in held if i % 4) <= 0.02 * len(held)
+
+
 def test_non_negative_risk_holds():
     rng = np.random.default_rng(5)
     positive = (rng.random((80, 12)) < 0.1) | (np.arange(12) < 2)
