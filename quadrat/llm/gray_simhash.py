@@ -16,7 +16,9 @@ components are contracted in Spark.
 Rows. A null or wordless text has fingerprint 0 and is linked like any other.
 Repeated rows share a fingerprint. An empty table gives an empty result. A
 null doc_id is no component id unless all of its component are null. Other
-columns of the table are not read.
+columns of the table are not read, but ``one_of_each_group`` returns them. It keeps a row with the
+group's smallest doc_id; where several rows have it, the one with the smallest fingerprint, then the
+smallest hash of all columns.
 """
 
 from __future__ import annotations
@@ -190,13 +192,49 @@ def forest(entries: DataFrame, distance: int, split_at: int = SPLIT_AT) -> DataF
     return level.repartition(parts, "mask", "pattern").mapInArrow(search, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 3, distance: int = 2, split_at: int = SPLIT_AT) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id reachable over links of at most ``distance`` bits."""
-    prints = settle(fingerprints(docs, shingle_words), "prints")
+def _grouped(prints: DataFrame, distance: int, split_at: int) -> DataFrame:
+    """fp, its smallest doc_id ``first``, and ``code``: the smallest fp of its component."""
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     edges = settle(forest(first.select("fp"), distance, split_at), "links")
     code = components(edges).select(F.col("node").alias("fp"), F.col("component").alias("code"))
-    grouped = first.join(code, "fp", "left").withColumn("code", F.coalesce("code", "fp"))
+    return first.join(code, "fp", "left").withColumn("code", F.coalesce("code", "fp"))
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 3, distance: int = 2, split_at: int = SPLIT_AT) -> DataFrame:
+    """doc_id, fp, component_id: the smallest doc_id reachable over links of at most ``distance`` bits."""
+    prints = settle(fingerprints(docs, shingle_words), "prints")
+    grouped = _grouped(prints, distance, split_at)
     least = grouped.groupBy("code").agg(F.min("first").alias("component_id"))
     of = grouped.join(least, "code").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, shingle_words: int = 3, distance: int = 2, split_at: int = SPLIT_AT) -> DataFrame:
+    """The rows of ``docs`` that stay when one row of each component is kept.
+
+    Texts move once, to meet the ids that stay. Rows whose doc_id is not unique are fingerprinted
+    again next to all their columns, and equal ones are combined before they move.
+    """
+    prints = settle(fingerprints(docs, shingle_words), "prints")
+    order = F.struct(F.col("first").isNull().alias("none"), "first", "fp")
+    stays = _grouped(prints, distance, split_at).groupBy("code").agg(F.min(order).alias("o")).select(
+        F.col("o.first").alias("_id"), F.col("o.fp").alias("_fp"))
+    often = prints.groupBy(F.col("doc_id").alias("_id")).agg((F.count(F.lit(1)) > 1).alias("_often"))
+    stays = settle(stays.join(often, stays["_id"].eqNullSafe(often["_id"])).select(stays["_id"], "_fp", "_often"), "stays")
+    single = stays.where("NOT _often").select("_id")
+    kept = docs.join(single, docs["doc_id"].eqNullSafe(single["_id"]), "left_semi")
+    many = stays.where("_often").select("_id").distinct()
+    rows = docs.join(many, docs["doc_id"].eqNullSafe(many["_id"]), "left_semi").select(
+        "doc_id", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
+
+    def make():
+        def out(batch):
+            for text, row in zip(batch["text"], batch["_row"]):
+                yield row, signed(majority_bits(shingle_hashes(words(text), shingle_words)))
+        return out
+
+    printed = map_rows(texts(rows, "_row"), schema_of(rows, "_row", _fp=T.LongType()), make)
+    printed = printed.groupBy(F.col("_row.doc_id").alias("_doc"), F.col("_fp").alias("_print")).agg(
+        F.min_by("_row", F.struct(*[F.xxhash64(F.lit(i), "_row") for i in range(2)])).alias("_row"))
+    printed = printed.join(stays, printed["_doc"].eqNullSafe(stays["_id"]) & (printed["_print"] == stays["_fp"]), "left_semi")
+    return kept.unionByName(printed.select("_row.*"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import bpe, brown_lm, divergence_rules, gray_simhash, host_paths, i_match, packing, pu_toxicity, suffix_dedup, token_counts
+from quadrat.llm import bpe, brown_lm, divergence_rules, gray_simhash, host_paths, i_match, packing, pu_toxicity, recompression, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,3 +137,8 @@ def op9(spark, sf):
 def op10(spark, sf):
     found = gray_simhash.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op11_recompression")
+def op11(spark, sf):
+    return recompression.remove_repeated_words(table(spark, sf, "documents"))

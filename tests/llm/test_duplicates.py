@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quadrat.llm import column_bwt, gray_simhash, i_match, simhash_groups, suffix_dedup
+from quadrat.llm import column_bwt, gray_simhash, i_match, suffix_dedup
 from quadrat.llm.common import components, words
 from tests.llm.helpers import frame, rows, sentence
 
@@ -65,78 +65,23 @@ def test_components_of_a_chain(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def shingles(text):
-    tokens = words((text or "").encode())
-    return {b" ".join(tokens[i:i + 5]) for i in range(max(1, len(tokens) - 4))} if tokens else set()
-
-
-def test_verified_groups(spark):
-    rng = random.Random(5)
-    data = rows(40)
-    base = sentence(rng, 200).split()
-    for k in range(30):
-        changed = list(base)
-        for _ in range(k % 3 + 1):
-            changed[rng.randrange(200)] = f"replacement{k}"
-        data.append((1_000 + k, " ".join(changed)))
-    got = {r.doc_id: r.component_id for r in simhash_groups.groups(frame(spark, data)).collect()}
-    sets = {i: shingles(t) for i, t in data}
-    same = {i: tuple(words((t or "").encode())) for i, t in data}
-    pairs = [(a, b) for a in sets for b in sets if a < b and (
-        same[a] == same[b] or (sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])))]
-    assert got == connected(sets, pairs)
-    kept = simhash_groups.one_of_each_group(frame(spark, data))
-    assert {r.doc_id for r in kept.collect()} == set(got.values()) and kept.columns == frame(spark, data).columns
-    assert simhash_groups.groups(frame(spark, data).limit(0)).count() == 0
-
-
-def test_tiles_find_all_links(spark, monkeypatch):
-    rng = random.Random(6)
-    base = sentence(rng, 150).split()
-    data = []
-    for k in range(40):
-        base = list(base)
-        base[rng.randrange(150)] = f"replacement{k}"  # a drifting chain
-        data.append((k, " ".join(base)))
-    whole = {r.doc_id: r.component_id for r in simhash_groups.groups(frame(spark, data)).collect()}
-    monkeypatch.setattr(simhash_groups, "PART", 6)
-    assert {r.doc_id: r.component_id for r in simhash_groups.groups(frame(spark, data)).collect()} == whole
-
-
-@pytest.mark.parametrize("pairs_a_posting", [4, 0])
-def test_groups_of_texts_with_few_long_words(spark, monkeypatch, pairs_a_posting):
-    monkeypatch.setattr(simhash_groups, "PAIRS_A_POSTING", pairs_a_posting)
-    rng = random.Random(11)
-
-    def short(n):
-        return ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(n)]
-    data = []
-    for k in range(40):
-        text = short(100)
-        data += [" ".join(text), " ".join([*text, "overlongword"])]
-        for long in range(4):
-            text = short(60)
-            for i in range(long):
-                text[15 * i + 10] = f"extraordinary{k}{long}{i}"
-            other = list(text)
-            other[25] = f"replacement{k}{long}" if long else "so"
-            data += [" ".join(text), " ".join(other)]
-    base = short(90)  # a large group
-    for k in range(60):
-        other = list(base)
-        other[rng.randrange(90)] = "".join(rng.choice("klmno") for _ in range(12 if k % 2 else 5))
-        data.append(" ".join(other))
-    data = list(enumerate(data)) + [(3, " ".join(short(30)))]  # a second text of one id
-    data[-1] = (3, data[4][1] + " again")
-    got = {(r.doc_id, r.component_id) for r in simhash_groups.groups(frame(spark, data)).collect()}
-    sets = [shingles(t) for _, t in data]
-    pairs = [(a, b) for a in range(len(data)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    assert len(pairs) > 200
-    label = connected(range(len(data)), pairs)
-    lead = {}
-    for i, c in label.items():
-        lead[c] = min(lead.get(c, data[i][0]), data[i][0])
-    assert got == {(data[i][0], lead[c]) for i, c in label.items()}
+def test_one_of_each_simhash_group(spark):
+    """One row of each component stays, also where rows are repeated or share a doc_id or have none."""
+    data = rows()
+    data += [(3, data[3][1]), (3, data[3][1]), (4, "another text of an id that occurs twice"), (None, data[5][1]), (None, "no id at all here"),
+             (None, "no id at all here")]
+    docs = frame(spark, data)
+    kept = gray_simhash.one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    code = [simhash(t) for _, t in data]
+    label = connected(range(len(data)), [(a, b) for a in range(len(data)) for b in range(a) if (code[a] ^ code[b]).bit_count() <= 2])
+    want = {}
+    for k, c in label.items():
+        order = (data[k][0] is None, data[k][0] or 0, gray_simhash.signed(code[k]))
+        want[c] = min(want.get(c, (order, data[k])), (order, data[k]), key=lambda x: x[0])
+    text_of = lambda pairs: sorted(((i, t or "") for i, t in pairs), key=repr)
+    assert text_of((r.doc_id, r.text) for r in kept.collect()) == text_of(p for _, p in want.values())
+    assert gray_simhash.one_of_each_group(docs.limit(0)).count() == 0
 
 
 def removed(data, window):
