@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import divergence_rules, packing, pu_toxicity, simhash_groups, suffix_dedup
+from quadrat.llm import divergence_rules, gray_simhash, packing, pu_toxicity, suffix_dedup
 from quadrat.storage import settle
 
 #: Score from which a document is rejected as toxic.
@@ -42,8 +42,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies."""
-    return simhash_groups.one_of_each_group(docs)
+    """One document of each group of copies and near copies: three-word shingles, at most two bits apart."""
+    return gray_simhash.one_of_each_group(docs, shingle_words=3, distance=2)
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
