@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import bpe, brown_lm, divergence_rules, gray_simhash, host_paths, i_match, packing, pu_toxicity, recompression, suffix_dedup, token_counts
+from quadrat.llm import (bpe, brown_lm, divergence_rules, gray_simhash, host_paths, i_match, orchard_codes, packing,
+                         phrase_sort, pu_toxicity, recompression, suffix_dedup, token_counts)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +143,13 @@ def op10(spark, sf):
 @query("op11_recompression")
 def op11(spark, sf):
     return recompression.remove_repeated_words(table(spark, sf, "documents"))
+
+
+@query("op12_orchard_codes")
+def op12(spark, sf):
+    return orchard_codes.encode(table(spark, sf, "embeddings"))
+
+
+@query("op13_phrase_sort")
+def op13(spark, sf):
+    return phrase_sort.collocations(table(spark, sf, "documents"))
