@@ -140,16 +140,80 @@ def op10(spark, sf):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-@query("op11_recompression")
+def repeated_words_sql() -> str:
+    """All windows of 50 words, joined by spaces, and the smallest doc_id of each."""
+    span = recompression.WINDOW - 1
+    return f"""WITH w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+      x AS (SELECT rid, doc_id, len(ws) AS n, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+      windows AS (SELECT rid, doc_id, i, md5(s) AS s FROM (SELECT rid, doc_id, i, n, string_agg(word, ' ') OVER (PARTITION BY rid ORDER BY i
+          ROWS BETWEEN CURRENT ROW AND {span} FOLLOWING) AS s FROM x) WHERE i + {span} <= n),
+      marks AS (SELECT rid, i, MIN(doc_id) OVER (PARTITION BY s) < doc_id AS again FROM windows),
+      kept AS (SELECT x.rid, x.i, x.word, coalesce(bool_or(again) OVER (PARTITION BY x.rid ORDER BY x.i ROWS BETWEEN {span} PRECEDING AND CURRENT ROW), false) AS gone
+        FROM x LEFT JOIN marks USING (rid, i)),
+      rest AS (SELECT rid, COUNT(*) AS n_kept, string_agg(word, ' ' ORDER BY i) AS s FROM kept WHERE NOT gone GROUP BY 1)
+      SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+      FROM w LEFT JOIN rest USING (rid)"""
+
+
+@query("op11_recompression", repeated_words_sql())
 def op11(spark, sf):
     return recompression.remove_repeated_words(table(spark, sf, "documents"))
 
 
-@query("op12_orchard_codes")
+def codes_sql() -> str:
+    """Distances to all entries; each round is a pair of views."""
+    parts, entries = orchard_codes.PARTS, orchard_codes.ENTRIES
+    near = lambda book: f"""SELECT id, p, MIN(struct_pack(d := d, e := e)) AS best FROM (SELECT x.id, x.p, b.e, SUM((x.v - b.v) * (x.v - b.v)) AS d
+        FROM cells x JOIN {book} b ON x.p = b.p AND x.j = b.j GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+    moved = lambda book, found: f"""SELECT b.p, b.e, b.j, coalesce(m.v, b.v) AS v FROM {book} b LEFT JOIN (
+        SELECT x.p, n.best.e AS e, x.j, CAST(floor(SUM(x.v)::DOUBLE / COUNT(*)) AS BIGINT) AS v FROM cells x JOIN {found} n ON n.id = x.id AND n.p = x.p GROUP BY 1, 2, 3) m
+        ON m.p = b.p AND m.e = b.e AND m.j = b.j"""
+    steps, book = [], "book0"
+    for r in range(orchard_codes.ROUNDS):
+        steps.append(f"near{r} AS MATERIALIZED ({near(book)}), book{r + 1} AS MATERIALIZED ({moved(book, f'near{r}')})")
+        book = f"book{r + 1}"
+    return f"""WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, label, embedding FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+      flat AS (SELECT id, unnest(range(len(embedding))) AS pos, len(embedding) // {parts} AS width, unnest(embedding) AS c FROM kept),
+      cells AS MATERIALIZED (SELECT id, pos // width AS p, pos % width AS j, CAST(floor({orchard_codes.SCALE} * CAST(c AS DOUBLE)) AS BIGINT) AS v FROM flat),
+      book0 AS MATERIALIZED (SELECT p, id - 1 AS e, j, v FROM cells WHERE id <= {entries}), {", ".join(steps)},
+      last AS MATERIALIZED ({near(book)}),
+      digest AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, e, j)) AS h FROM {book}),
+      coded AS (SELECT id, string_agg(lpad(format('{{:x}}', best.e), 2, '0'), '' ORDER BY p) AS code, CAST(SUM(best.d) AS BIGINT) AS error FROM last GROUP BY 1)
+      SELECT vec_id, code, error, CAST(SUM(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+      FROM kept JOIN coded USING (id), digest"""
+
+
+@query("op12_orchard_codes", codes_sql())
 def op12(spark, sf):
     return orchard_codes.encode(table(spark, sf, "embeddings"))
 
 
-@query("op13_phrase_sort")
+def collocations_sql() -> str:
+    """Every phrase of up to five words, counted."""
+    p = phrase_sort
+    grams = " UNION ALL ".join(
+        f"SELECT lang, array_to_string(ws[i:i + {k - 1}], ' ') AS phrase, {k} AS k FROM (SELECT lang, ws, unnest(range(1, len(ws) - {k - 2})) AS i FROM pieces WHERE len(ws) >= {k})"
+        for k in range(1, p.DEPTH + 1))
+    return f"""WITH docs AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM documents),
+      pieces AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM (SELECT lang, unnest(regexp_split_to_array(s, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM docs)),
+      f AS MATERIALIZED (SELECT lang, phrase, any_value(k) AS k, COUNT(*) AS f FROM ({grams}) GROUP BY 1, 2),
+      total AS (SELECT lang, SUM(len(ws)) AS n FROM pieces GROUP BY 1),
+      often AS MATERIALIZED (SELECT lang, phrase, string_split(phrase, ' ') AS ws, k, f AS a FROM f WHERE k > 1 AND f >= {p.LEAST}),
+      cut AS MATERIALIZED (SELECT lang, phrase, a, c, array_to_string(ws[1:c], ' ') AS lp, array_to_string(ws[c + 1:], ' ') AS rp
+        FROM (SELECT *, unnest(range(1, k)) AS c FROM often)),
+      known AS MATERIALIZED (SELECT lang, phrase, f FROM f WHERE f >= {p.LEAST}),
+      cuts AS (SELECT x.lang, x.phrase, x.a, x.c, l.f AS l, r.f AS r, total.n AS n, CAST(1000 AS HUGEINT) * x.a * total.n // (CAST(l.f AS HUGEINT) * r.f) AS score
+        FROM cut x JOIN total ON total.lang = x.lang JOIN known l ON l.lang = x.lang AND l.phrase = x.lp JOIN known r ON r.lang = x.lang AND r.phrase = x.rp),
+      worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+      parts AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, MAX(a) AS within FROM (
+        SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM often)) GROUP BY 1, 2),
+      ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+        FROM worst LEFT JOIN parts USING (lang, phrase) WHERE within IS NULL OR 100 * within < 100 * a)
+      SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+        CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= {p.TOP}"""
+
+
+@query("op13_phrase_sort", collocations_sql())
 def op13(spark, sf):
     return phrase_sort.collocations(table(spark, sf, "documents"))
