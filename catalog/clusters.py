@@ -63,16 +63,28 @@ _SETS = """words AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(text
     sims AS (SELECT a, b, greatest(0, 1 + ln(2 * j / (1 + j)) / 5) AS similarity FROM (SELECT a, b, c / (na + nb - c) AS j FROM shared))"""
 
 
-def _sets(spark, sf):
-    return settle(similarity.item_sets(table(spark, sf, "documents"), "doc_id", "text", 5), "sets")
+def _tokens(spark, sf):
+    return settle(similarity.item_tokens(table(spark, sf, "documents"), "doc_id", "text", 5), "tokens")
 
 
-@query("similarity_to_representatives", f"""WITH {_SETS} SELECT a AS rep, b AS id, round(similarity, 6) AS similarity FROM sims
-    WHERE similarity >= 0.9 AND a IN (SELECT doc_id FROM labels WHERE quality = 1)""")
-def _(spark, sf):
-    sets = _sets(spark, sf)
+_TO_GOOD = f"""WITH {_SETS} SELECT a AS rep, b AS id, round(similarity, 6) AS similarity FROM sims
+    WHERE similarity >= 0.9 AND a IN (SELECT doc_id FROM labels WHERE quality = 1)"""
+
+
+def _to_good(spark, sf, sketch=None):
+    tokens = _tokens(spark, sf)
     good = table(spark, sf, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))
-    return rounded(similarity.similarity_to(sets.join(good, "id", "left_semi"), sets, 5, 0.9))
+    return rounded(similarity.similarity_to(tokens.join(good, "id", "left_semi"), tokens, 5, 0.9, sketch))
+
+
+@query("similarity_to_representatives", _TO_GOOD)
+def _(spark, sf):
+    return _to_good(spark, sf)
+
+
+@query("similarity_by_sketch", _TO_GOOD)
+def _(spark, sf):
+    return _to_good(spark, sf, 512)
 
 
 @query("dereplicate", f"""WITH RECURSIVE {_SETS},
@@ -88,7 +100,7 @@ def _(spark, sf):
     UNION ALL SELECT representative, member, round(similarity, 6) FROM members WHERE k = 1""")
 def _(spark, sf):
     quality = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("quality"))
-    return rounded(dereplicate.dereplicate(_sets(spark, sf), quality, 5, 95.0))
+    return rounded(dereplicate.dereplicate(_tokens(spark, sf), quality, 5, 95.0, precluster=90.0))
 
 
 RULES = [("^src1[0-4]$", "alpha"), ("^src1[5-9]$", "beta"), ("^src[5-9]$", "gamma")]

@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quadrat.operators import dereplicate, genes, origins, similarity
+from quadrat.operators import dereplicate, genes, graph, origins, similarity, sketches
 from quadrat.sources import delimited, fasta, workbook
 
 
@@ -51,34 +51,77 @@ def corpus(seed, shared):
     return texts
 
 
-@pytest.mark.parametrize("seed,shared,remainder", [(1, False, 0), (2, True, 0), (2, True, 5_000_000)])
-def test_dereplication_equals_the_sequential_greedy(spark, monkeypatch, seed, shared, remainder):
-    monkeypatch.setattr(dereplicate, "SMALL_REMAINDER", remainder)
+@pytest.mark.parametrize("seed,shared,precluster,sketch", [(1, False, 80.0, 256), (2, True, 80.0, 512), (2, True, None, 512)])
+def test_dereplication_equals_the_sequential_greedy(spark, seed, shared, precluster, sketch):
     texts = corpus(seed, shared)
     quality = {i: (i * 37) % 50 for i in texts}
     df = spark.createDataFrame(list(texts.items()), "id int, text string")
-    sets = similarity.item_sets(df, "id", "text", 3)
-    got = dereplicate.dereplicate(sets, spark.createDataFrame(list(quality.items()), "id int, quality int"), 3, 90.0).collect()
+    tokens = similarity.item_tokens(df, "id", "text", 3)
+    ranks = spark.createDataFrame(list(quality.items()), "id int, quality int")
+    got = dereplicate.dereplicate(tokens, ranks, 3, 90.0, precluster, sketch).collect()
     assert {r.member: r.representative for r in got} == greedy(texts, quality, 3, 0.9)
 
 
 def test_similarity_to_representatives(spark):
     texts = corpus(3, True)
     df = spark.createDataFrame(list(texts.items()), "id int, text string")
-    sets = similarity.item_sets(df, "id", "text", 3)
-    hubs = sets.filter("id % 4 = 0")
-    got = {(r.rep, r.id): r.similarity for r in similarity.similarity_to(hubs, sets, 3, 0.85).collect()}
+    tokens = similarity.item_tokens(df, "id", "text", 3)
+    got = {(r.rep, r.id): r.similarity for r in similarity.similarity_to(tokens.filter("id % 4 = 0"), tokens, 3, 0.85).collect()}
     parts = {i: words(t, 3) for i, t in texts.items()}
     want = {(r, i): ident(parts[r], parts[i], 3) for r in texts if r % 4 == 0 for i in texts if i != r}
     assert got == {k: pytest.approx(v) for k, v in want.items() if v >= 0.85}
 
 
+def test_band_join_finds_nearly_all_pairs(spark):
+    """Recall against the exact join at several sizes of the sketch, on long sets with a token that all share."""
+    rng = random.Random(8)
+    rows, sets = [], {}
+    for family in range(30):
+        base = [rng.getrandbits(50) for _ in range(rng.randint(60, 900))]
+        for member in range(4):
+            own = {t if rng.random() > 0.05 * member else rng.getrandbits(50) for t in base} | {1}
+            sets[4 * family + member] = own
+            rows += [(4 * family + member, t) for t in own]
+    tokens = spark.createDataFrame(rows, "id int, token long")
+    index = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    k, limit = 21, similarity.min_jaccard(0.97, 21)
+    wanted = {(a, b) for a in sets for b in sets if a != b and index(a, b) >= limit}
+    for size, least in ((128, 0.95), (512, 0.99)):
+        found = {(r.rep, r.id) for r in similarity.similarity_to(tokens, tokens, k, 0.97, size).collect()}
+        assert found <= wanted and len(found) >= least * len(wanted) > 100
+
+
+def test_sketches_merge_and_estimate(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.getrandbits(40)) for i in (1, 2) for _ in range(3_000)]
+    rows += [(2, t) for i, t in rows if i == 1][:2_000]
+    whole = spark.createDataFrame(rows, "id int, token long")
+    halves = [whole.filter(f"token % 2 = {i}") for i in (0, 1)]
+    for make in (lambda t: sketches.bottom_rows(t, 400), lambda t: sketches.bin_minima(t, 128).select("id", "token")):
+        merged = make(make(halves[0]).union(make(halves[1])))
+        assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, make(whole).collect()))
+    a, b = ({t for i, t in rows if i == k} for k in (1, 2))
+    pair = sketches.bottom_sketch(sketches.bottom_rows(whole, 400)).agg(
+        F.max_by("sketch", -F.col("id")).alias("a"), F.max_by("sketch", "id").alias("b"))
+    got = pair.select(sketches.estimated_jaccard(F.col("a"), F.col("b"), 400)).head()[0]
+    assert abs(got - len(a & b) / len(a | b)) < 0.08
+
+
+def test_components(spark):
+    pairs = [(i, i + 1) for i in range(60)] + [(100, 102), (102, 101), (7, 7), (None, 3), (200, 150), (150, 201)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100, 150: 150, 200: 150, 201: 150}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_dna_kmers_are_strand_neutral(spark):
     seq = "ACGTTGCAAGTCCATGCA"
     back = seq[::-1].translate(str.maketrans("ACGT", "TGCA"))
     df = spark.createDataFrame([("a", "c1", seq), ("b", "c1", back), ("c", "c1", seq[:9]), ("c", "c2", seq[9:])],
                                "genome string, contig string, seq string")
-    got = {r.id: set(r.tokens) for r in similarity.genome_sets(df, 5).collect()}
+    got = {}
+    for r in similarity.genome_tokens(df, 5).collect():
+        got.setdefault(r.id, set()).add(r.token)
     assert got["a"] == got["b"] and len(got["c"]) < len(got["a"])
 
 
