@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from catalog.base import (abundance, annotations, change_groups, clusters, embedding_cells, gene_counts,
                           query, rounded, samples, table)
 from quadrat.operators import clustering, dereplicate, distance, genes, ordination, origins, similarity
-from quadrat.storage import settle
+from quadrat.plans import analyses
+from quadrat.sources import delimited, fasta
+from quadrat.storage import scratch_path, settle
 
 
 @query("pcoa_trace", """SELECT round(SUM(d * d) / (SELECT COUNT(DISTINCT sample) FROM samples), 6) AS trace FROM bray""", ["bray", "samples"])
@@ -103,6 +105,35 @@ def _(spark, sf):
     return rounded(dereplicate.dereplicate(_tokens(spark, sf), quality, 5, 95.0, precluster=90.0))
 
 
+_LETTERS, _BASES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC"
+
+
+@query("dereplicate_files", f"""WITH RECURSIVE seqs AS (SELECT 'doc' || doc_id AS id, n_chars, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{_LETTERS}', '{_BASES}') AS s FROM documents),
+    raw AS (SELECT DISTINCT id, least(k, reverse(translate(k, 'ACGT', 'TGCA'))) AS t FROM (SELECT id, substr(s, unnest(range(1, greatest(length(s) - 20, 1) + 1)), 21) AS k FROM seqs)),
+    toks AS (SELECT id, t, COUNT(*) OVER (PARTITION BY id) AS n FROM raw),
+    shared AS (SELECT x.id AS a, y.id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, COUNT(*) AS c FROM toks x JOIN toks y ON x.t = y.t AND x.id <> y.id GROUP BY 1, 2),
+    sims AS (SELECT a, b, 1 + ln(2 * j / (1 + j)) / 21 AS similarity FROM (SELECT a, b, c / (na + nb - c) AS j FROM shared) WHERE 1 + ln(2 * j / (1 + j)) / 21 >= 0.95 - 1e-9),
+    ord AS (SELECT id, n_chars, ROW_NUMBER() OVER (ORDER BY n_chars DESC, id) AS i FROM seqs),
+    nb AS (SELECT o.i, o.id, COALESCE(list(s.a) FILTER (p.i < o.i), []) AS better FROM ord o LEFT JOIN sims s ON s.b = o.id LEFT JOIN ord p ON p.id = s.a GROUP BY 1, 2),
+    g AS (SELECT 0 AS i, CAST([] AS VARCHAR[]) AS reps UNION ALL
+      SELECT nb.i, CASE WHEN list_has_any(reps, better) THEN reps ELSE list_append(reps, id) END FROM g JOIN nb ON nb.i = g.i + 1),
+    reps AS (SELECT unnest(reps) AS id FROM (SELECT reps FROM g ORDER BY i DESC LIMIT 1)),
+    members AS (SELECT b AS member, a AS representative, ROW_NUMBER() OVER (PARTITION BY b ORDER BY round(similarity, 12) DESC, o.i) AS k
+      FROM sims JOIN reps ON reps.id = a JOIN ord o ON o.id = a WHERE b NOT IN (SELECT id FROM reps)),
+    defined AS (SELECT id AS representative, id AS member FROM reps UNION ALL SELECT representative, member FROM members WHERE k = 1)
+    SELECT representative, member, CAST(length(s) AS INT) AS bases FROM defined JOIN seqs ON seqs.id = representative""")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("genome"), "text", "n_chars")
+    out = scratch_path(spark, "genomes")
+    bases = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), _LETTERS, _BASES)
+    fasta.write_fasta(docs.select("genome", F.lit("c1").alias("contig"), bases.alias("seq")), f"{out}/all")
+    quality = docs.select(F.col("genome").alias("id"), F.col("n_chars").alias("quality"))
+    clusters, files = analyses.dereplicate_genomes(spark, f"{out}/all", quality, out, extension="txt")
+    defined = delimited.read_delimited(spark, clusters, "representative string, member string", "\t", False)
+    kept = fasta.read_fasta(spark, files, "txt").groupBy(F.col("genome").alias("representative")).agg(F.sum(F.length("seq")).cast("int").alias("bases"))
+    return defined.join(kept, "representative")
+
+
 RULES = [("^src1[0-4]$", "alpha"), ("^src1[5-9]$", "beta"), ("^src[5-9]$", "gamma")]
 _RULE_SQL = "CASE WHEN regexp_matches(db, '^src1[0-4]$') THEN 'alpha' WHEN regexp_matches(db, '^src1[5-9]$') THEN 'beta' WHEN regexp_matches(db, '^src[5-9]$') THEN 'gamma' ELSE 'own' END"
 

@@ -136,22 +136,11 @@ def _(spark, sf):
 
 @query("source_fasta", "SELECT genome, contig, seq FROM (SELECT 'doc' || doc_id AS genome, 'c1' AS contig, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM documents)")
 def _(spark, sf):
-    path = _folder(spark, "fasta")
-    docs = table(spark, sf, "documents").select(
-        F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("genome"),
-        F.regexp_replace("text", "[^A-Za-z]", "").alias("seq"))
-    body = F.regexp_replace("seq", "(.{60})", "$1\n")
-
-    def save(batches):
-        for pdf in batches:
-            for name, text in zip(pdf["genome"], pdf["record"]):
-                with open(f"{path}/{name}.fa", "w") as f:
-                    f.write(text)
-            yield pdf[["genome"]]
-
-    docs.select("genome", F.concat(F.lit(">c1 contig one\n"), body, F.lit("\n")).alias("record")).mapInPandas(
-        save, "genome string").count()
-    return fasta.read_fasta(spark, path)
+    path = scratch_path(spark, "fasta")
+    fasta.write_fasta(table(spark, sf, "documents").select(
+        F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("genome"), F.lit("c1").alias("contig"),
+        F.regexp_replace("text", "[^A-Za-z]", "").alias("seq")), path)
+    return fasta.read_fasta(spark, path, "txt")
 
 
 @query("source_database_list", """SELECT database, 'r' || representative AS representative, 'm' || member AS member

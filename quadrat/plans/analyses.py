@@ -11,14 +11,15 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.functions.columns import lookup, natural_join, ordered_levels, p_symbol, strip_prefix
 from quadrat.operators import (clustering, dereplicate, distance, diversity, genes, normalize, ordination,
-                               origins, permanova, ranktests, summaries)
+                               origins, permanova, ranktests, similarity, summaries)
 from quadrat.operators.counts import exact_median
 from quadrat.operators.multitest import p_adjust
+from quadrat.sources import delimited, fasta
 from quadrat.storage import settle
 
 
@@ -245,9 +246,21 @@ def starch_utilisation(annotations: DataFrame, taxa: DataFrame, by: Sequence[str
 
 # ---- genomes -----------------------------------------------------------------------
 
-def dereplicate_genomes(sets: DataFrame, quality: DataFrame, k: int, threshold: float = 95.0) -> DataFrame:
-    """Cluster definition ``representative, member, similarity`` (see ``operators.dereplicate``)."""
-    return dereplicate.dereplicate(sets, quality, k, threshold)
+def dereplicate_genomes(spark: SparkSession, fasta_path: str, quality: DataFrame, out: str, k: int = 21, threshold: float = 95.0,
+                        precluster: float | None = 90.0, extension: str = "fa") -> tuple[str, str]:
+    """From genome files to a cluster definition and the representatives' files.
+
+    Reads FASTA, dereplicates (see ``operators.dereplicate``; ``quality`` is ``id, quality``), and writes
+    ``out/clusters.tsv`` and ``out/representatives``. Returns both paths.
+    """
+    sequences = fasta.read_fasta(spark, fasta_path, extension)
+    tokens = similarity.genome_tokens(sequences, k)
+    clusters = settle(dereplicate.dereplicate(tokens, quality, k, threshold, precluster), "clusters")
+    table, folder = f"{out}/clusters.tsv", f"{out}/representatives"
+    delimited.write_clusters(clusters, table)
+    chosen = clusters.select(F.col("representative").alias("genome")).distinct()
+    fasta.write_fasta(sequences.join(chosen, "genome", "left_semi"), folder)
+    return table, folder
 
 
 def improved_or_unique(clusters: DataFrame, own: Column, rules: Sequence[tuple[str, str]],

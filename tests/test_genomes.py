@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrat.operators import dereplicate, genes, graph, origins, similarity, sketches
+from quadrat.plans import analyses
 from quadrat.sources import delimited, fasta, workbook
 
 
@@ -199,3 +200,23 @@ def test_sinks(spark, tmp_path):
     assert sorted(r.seq for r in spark.read.parquet(str(tmp_path / "r")).collect()) == ["AC", "TT"]
     delimited.write_representatives(seqs, chosen, str(tmp_path / "s"), shelves=2)
     assert sorted((r.genome, r.seq) for r in spark.read.parquet(str(tmp_path / "s")).collect()) == [("a", "AC"), ("a", "TT")]
+
+
+def test_genome_files_to_clusters_and_back(spark, tmp_path):
+    rng = random.Random(6)
+    base = {f"g{i}#x y+{i}": "".join(rng.choice("ACGT") for _ in range(3_000)) for i in range(5)}
+    rows, near = [], {}
+    for n, (name, seq) in enumerate(base.items()):
+        rows += [(name, "c1", seq[:1_600]), (name, "c2", seq[1_600:])]
+        other = "".join(rng.choice("ACGT") if rng.random() < 0.01 else c for c in seq)
+        near[f"n{n}"] = name
+        rows.append((f"n{n}", "only", other))
+    seqs = spark.createDataFrame(rows, "genome string, contig string, seq string")
+    fasta.write_fasta(seqs, str(tmp_path / "all"))
+    assert sorted(map(tuple, fasta.read_fasta(spark, str(tmp_path / "all"), "txt").collect())) == sorted(rows)
+    quality = spark.createDataFrame([(g, 90.0 if g in base else 50.0) for g in {r[0] for r in rows}], "id string, quality double")
+    table, folder = analyses.dereplicate_genomes(spark, str(tmp_path / "all"), quality, str(tmp_path / "out"), extension="txt")
+    got = spark.read.schema("representative string, member string").option("sep", "\t").csv(table)
+    assert {r.member: r.representative for r in got.collect()} == {**{g: g for g in base}, **near}
+    kept = {(r.genome, r.contig): r.seq for r in fasta.read_fasta(spark, folder, "txt").collect()}
+    assert kept == {(g, c): s for g, c, s in rows if g in base}
