@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import (LEVELS, REF, TIMEPOINTS, abundance, annotations, change_groups, clusters, gene_counts,
-                          mapping, quality, query, rounded, samples, sql_bh, sql_kruskal, sql_nulls, sql_wilcox,
+                          mapping, quality, query, rounded, samples, sql_bh, sql_euclid, sql_kruskal, sql_linkage, sql_nulls, sql_wilcox,
                           table, taxonomy, transit_wide)
 from catalog.clusters import RULES, _RULE_SQL
 from catalog.distances import _PERM_OUT, _sql_permanova
@@ -186,16 +186,23 @@ def _carbs(spark, sf):
     return plans.carbohydrate_profile(gene_counts(spark, sf), change_groups(spark, sf), ["feature", "change_direction"], suffixes=())
 
 
-@query("analysis_carbohydrate_trees")
-def _(spark, sf):
-    trees = plans.clustered_profile(_carbs(spark, sf), "feature", "subheader", "change_direction")
-    return trees["rows"].unionByName(trees["columns"].withColumn("change_direction", F.lit("columns")))
-
-
 _GH = """gh AS (SELECT feature, change_direction, unnest(string_split(subheader, ', ')) AS subheader, gene_freq FROM gene_counts JOIN change_groups USING (feature)
     WHERE gene_id LIKE 'GH%' AND change_direction <> 'No Change'), pf AS (SELECT feature, change_direction, subheader, SUM(gene_freq) AS total FROM gh GROUP BY 1, 2, 3)"""
 
 
+def _sql_trees(profile: str, term: str) -> str:
+    """Trees of the rows per change direction, and of the columns."""
+    return f"""cells AS (SELECT change_direction AS slice, feature AS sample, {term} AS feature, CAST(total AS DOUBLE) AS value FROM {profile}
+        UNION ALL SELECT 'columns', {term}, feature, SUM(total) FROM {profile} GROUP BY 2, 3), prs AS ({sql_euclid('cells')}), {sql_linkage('prs')}
+    SELECT DISTINCT slice AS change_direction, l AS "left", r AS "right", round(h, 6) AS height FROM tree WHERE step > 0"""
+
+
+@query("analysis_carbohydrate_trees", f"WITH RECURSIVE {_GH}, {_sql_trees('pf', 'subheader')}", ["gene_counts", "change_groups"])
+def _(spark, sf):
+    trees = plans.clustered_profile(_carbs(spark, sf), "feature", "subheader", "change_direction")
+    return rounded(trees["rows"].unionByName(trees["columns"].withColumn("change_direction", F.lit("columns"))))
+
+
 @query("analysis_carbohydrate_tests", f"""WITH {_GH}, w AS ({sql_wilcox('pf', 'subheader', 'total', 'change_direction', "SELECT 'Increasing' AS group1, 'Decreasing' AS group2")}),
     adj AS ({sql_bh('w', 'p', 'subheader')}) SELECT subheader, {_TEST}, round(p_adj, 6) AS p_adj FROM adj""", ["gene_counts", "change_groups"])
 def _(spark, sf):
@@ -208,11 +215,12 @@ def _(spark, sf):
     return plans.transporter_profile(gene_counts(spark, sf), change_groups(spark, sf), ["feature", "change_direction"], ["PROMO", "SMALL", "LARGE"])
 
 
-@query("analysis_transporter_trees")
+@query("analysis_transporter_trees", f"""WITH RECURSIVE pf AS (SELECT feature, change_direction, module, SUM(gene_freq) AS total FROM gene_counts JOIN change_groups USING (feature)
+    WHERE regexp_matches(module, 'PROMO|SMALL|LARGE') GROUP BY 1, 2, 3), {_sql_trees('pf', 'module')}""", ["gene_counts", "change_groups"])
 def _(spark, sf):
     profile = plans.transporter_profile(gene_counts(spark, sf), change_groups(spark, sf), ["feature", "change_direction"], ["PROMO", "SMALL", "LARGE"])
     trees = plans.clustered_profile(profile, "feature", "module", "change_direction")
-    return trees["rows"].unionByName(trees["columns"].withColumn("change_direction", F.lit("columns")))
+    return rounded(trees["rows"].unionByName(trees["columns"].withColumn("change_direction", F.lit("columns"))))
 
 
 @query("analysis_starch_utilisation", """WITH c AS (SELECT feature, change_direction, matches, COUNT(*) AS total_occurrences FROM (
@@ -255,10 +263,16 @@ def _(spark, sf):
                                            _doc_taxonomy(spark, sf), ["phylum", "order"], "db")["matrix"]
 
 
-@query("analysis_presence_trees")
+@query("analysis_presence_trees", f"""WITH RECURSIVE found AS (SELECT DISTINCT representative, {_RULE_SQL} AS s FROM clusters),
+    named AS (SELECT representative, list(s ORDER BY s) AS pattern, struct_pack(phylum := any_value(lang), "order" := CASE WHEN representative % 2 = 0 THEN 'even' ELSE 'Unclassified order' END) AS slice
+      FROM found JOIN documents ON doc_id = representative GROUP BY representative),
+    heads AS (SELECT slice, pattern, representative, MIN(representative) OVER (PARTITION BY slice, pattern) AS head FROM named),
+    cells AS (SELECT slice, head AS sample, unnest(pattern) AS feature, 1e0 AS value FROM heads WHERE head = representative), prs AS ({sql_euclid('cells')}), {sql_linkage('prs')}
+    SELECT DISTINCT slice.phylum AS phylum, slice."order" AS "order", l AS "left", r AS "right", round(h, 6) AS height FROM tree WHERE step > 0
+    UNION ALL SELECT slice.phylum, slice."order", head, representative, 0e0 FROM heads WHERE head <> representative""", ["clusters"])
 def _(spark, sf):
-    return plans.presence_across_databases(clusters(spark, sf), RULES, "own", ["own", "alpha", "beta", "gamma"],
-                                           _doc_taxonomy(spark, sf), ["phylum", "order"], "db")["rows"]
+    return rounded(plans.presence_across_databases(clusters(spark, sf), RULES, "own", ["own", "alpha", "beta", "gamma"],
+                                                   _doc_taxonomy(spark, sf), ["phylum", "order"], "db")["rows"])
 
 
 @query("analysis_genome_quality", """WITH r AS (SELECT substr(phylum, 4) || ' - ' || substr(family, 4) AS phylum_family, CASE WHEN contamination < 5 THEN 'Less than 5%' WHEN contamination < 10 THEN '5%-10%' END AS contamination_class, completeness FROM quality),

@@ -296,6 +296,29 @@ def sql_nulls(sizes: str) -> str:
         SELECT m, k, s - m * (m + 1) / 2 AS u, w FROM (SELECT DISTINCT m, k FROM ({sizes})) z JOIN ways ON i = m + k AND c = m))"""
 
 
+def sql_euclid(cells: str) -> str:
+    """SELECT text for the distances of all pairs; ``cells`` has slice, sample, feature, value."""
+    return f"""SELECT x.slice, x.sample AS a, y.sample AS b, sqrt(greatest(0, x.n + y.n - 2 * coalesce(dot, 0))) AS d
+      FROM (SELECT slice, sample, SUM(value * value) AS n FROM {cells} GROUP BY 1, 2) x JOIN (SELECT slice, sample, SUM(value * value) AS n FROM {cells} GROUP BY 1, 2) y
+        ON x.slice = y.slice AND x.sample < y.sample
+      LEFT JOIN (SELECT p.slice, p.sample AS a, q.sample AS b, SUM(p.value * q.value) AS dot FROM {cells} p JOIN {cells} q ON p.slice = q.slice AND p.feature = q.feature AND p.sample < q.sample
+        GROUP BY 1, 2, 3) m ON m.slice = x.slice AND m.a = x.sample AND m.b = y.sample"""
+
+
+def sql_linkage(pairs: str) -> str:
+    """Recursive CTE text ``tree``: complete linkage of ``pairs`` (slice, a, b, d), compared by distance, then names.
+
+    One merge of every slice per step; rows with ``step`` > 0 name it: l, r, h.
+    """
+    return f"""ways AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (PARTITION BY slice ORDER BY d, a, b) AS k FROM {pairs}),
+      both_ways AS MATERIALIZED (SELECT slice, a, b, d, k FROM ways UNION ALL SELECT slice, b, a, d, k FROM ways),
+      tree AS (SELECT 0 AS step, slice, name, name AS cl, name AS l, name AS r, CAST(NULL AS DOUBLE) AS h FROM (SELECT DISTINCT slice, a AS name FROM both_ways)
+        UNION ALL SELECT t.step + 1, t.slice, t.name, CASE WHEN t.cl = m.r THEN m.l ELSE t.cl END, m.l, m.r, m.h FROM tree t JOIN (
+          SELECT slice, arg_min(lo, k) AS l, arg_min(hi, k) AS r, arg_min(h, k) AS h FROM (
+            SELECT x.slice, x.cl AS lo, y.cl AS hi, MAX(w.k) AS k, MAX(w.d) AS h FROM tree x JOIN both_ways w ON w.slice = x.slice AND w.a = x.name
+              JOIN tree y ON y.slice = w.slice AND y.name = w.b WHERE x.cl < y.cl GROUP BY 1, 2, 3) GROUP BY 1) m ON m.slice = t.slice)"""
+
+
 def rounded(df: DataFrame, places: int = 6, **more: int) -> DataFrame:
     """Round the double columns, as the SQL does; other columns stay."""
     from pyspark.sql.types import DoubleType

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import (abundance, annotations, change_groups, clusters, embedding_cells, gene_counts,
-                          query, rounded, samples, table)
+                          query, rounded, samples, sql_euclid, sql_linkage, table)
 from quadrat.operators import clustering, dereplicate, distance, genes, ordination, origins, similarity
 from quadrat.plans import analyses
 from quadrat.sources import delimited, fasta
@@ -46,16 +46,18 @@ def _(spark, sf):
     return ordination.group_ellipse(points, "label", 0.75)
 
 
-@query("complete_linkage")
+@query("complete_linkage", f"""WITH RECURSIVE cells AS (SELECT 0 AS slice, feature AS sample, sample AS feature, CAST(value AS DOUBLE) AS value FROM abundance), prs AS ({sql_euclid('cells')}), {sql_linkage('prs')}
+    SELECT DISTINCT l AS "left", r AS "right", round(h, 6) AS height FROM tree WHERE step > 0""", ["abundance"])
 def _(spark, sf):
     dist = distance.euclidean(distance.transpose(abundance(spark, sf)))
-    return clustering.complete_linkage(dist)
+    return rounded(clustering.complete_linkage(dist))
 
 
-@query("complete_linkage_by_slice")
+@query("complete_linkage_by_slice", f"""WITH RECURSIVE prs AS (SELECT x.grp AS slice, a, b, d FROM bray JOIN samples x ON x.sample = a JOIN samples y ON y.sample = b AND x.grp = y.grp), {sql_linkage('prs')}
+    SELECT DISTINCT slice AS grp, l AS "left", r AS "right", round(h, 6) AS height FROM tree WHERE step > 0""", ["bray", "samples"])
 def _(spark, sf):
     ab = abundance(spark, sf).join(samples(spark, sf).select("sample", "grp"), "sample")
-    return clustering.complete_linkage(distance.bray_curtis(ab, split="grp"), "grp")
+    return rounded(clustering.complete_linkage(distance.bray_curtis(ab, split="grp"), "grp"))
 
 
 _SETS = """words AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w FROM documents),

@@ -274,17 +274,24 @@ def presence_across_databases(clusters: DataFrame, rules: Sequence[tuple[str, st
                               member: str = "member") -> dict[str, DataFrame]:
     """Presence matrix with cleaned taxonomy, and a tree per combination of the ranks.
 
+    Copies of a pattern join the first of them at height 0, so the work grows with patterns, not with pairs of copies.
+
     ``taxonomy`` has ``representative`` and the rank columns.
     """
     from quadrat.functions.columns import label_blank, strip_rank_prefixes
     found = settle(origins.cluster_origins(clusters, rules, default, member), "origins")
     clean = label_blank(strip_rank_prefixes(taxonomy), ranks)
     matrix = origins.presence_matrix(found, sources).join(clean, "representative")
-    cells = (found.filter(F.col("source").isin(*sources))
-             .join(clean.select("representative", F.concat_ws(" & ", *ranks).alias("slice")), "representative")
-             .select("slice", F.col("representative").alias("sample"), F.col("source").alias("feature"),
-                     F.lit(1.0).alias("value")))
-    return {"matrix": matrix, "rows": clustering.complete_linkage(distance.euclidean(cells, split="slice"), "slice")}
+    # representatives of one pattern are copies: only the first of them is compared
+    held = (found.filter(F.col("source").isin(*sources)).join(clean.select("representative", F.struct(*ranks).alias("ranks")), "representative")
+            .groupBy("ranks", "representative").agg(F.array_sort(F.collect_set("source")).alias("pattern")))
+    firsts = held.groupBy("ranks", "pattern").agg(F.min("representative").alias("head"))
+    firsts = settle(firsts.withColumn("slice", F.to_json("ranks", {"ignoreNullFields": "false"})), "heads")
+    copies = held.join(firsts, ["ranks", "pattern"]).select("slice", "head", F.col("representative").alias("item"))
+    cells = firsts.select("slice", F.col("head").alias("sample"), F.explode("pattern").alias("feature"), F.lit(1.0).alias("value"))
+    tree = clustering.complete_linkage(distance.euclidean(cells, split="slice"), "slice")
+    rows = clustering.attach_copies(tree, copies, "slice").join(firsts.select("slice", "ranks.*").distinct(), "slice")
+    return {"matrix": matrix, "rows": rows.select(*ranks, "left", "right", "height")}
 
 
 def genome_quality(quality: DataFrame) -> DataFrame:

@@ -165,17 +165,21 @@ def test_ellipse(spark):
     assert got["few"].radius is None
 
 
-def linkage_brute(d, names):
-    live, out = {n: [i] for i, n in enumerate(names)}, []
+def linkage_brute(pairs):
+    """One merge at a time; clusters are as far apart as their last pair by distance, then names."""
+    key = {}
+    for a, b, d in pairs:
+        key[a, b] = key[b, a] = (d, a, b)
+    live, out = {n: [n] for p in pairs for n in p[:2]}, []
     while len(live) > 1:
-        h, a, b = min((max(d[i, j] for i in live[x] for j in live[y]), x, y)
-                      for x in live for y in live if x < y)
+        (h, *_), a, b = min((max(key[i, j] for i in live[x] for j in live[y]), x, y)
+                            for x in live for y in live if x < y)
         out.append((a, b, h))
         live[a] += live.pop(b)
-    return out
+    return sorted(out)
 
 
-@pytest.mark.parametrize("small", [1500, 2])
+@pytest.mark.parametrize("small", [1500, 2, 5])
 @pytest.mark.parametrize("ties", [False, True])
 def test_complete_linkage(spark, small, ties):
     rng = np.random.default_rng(8)
@@ -186,11 +190,27 @@ def test_complete_linkage(spark, small, ties):
     names = [f"n{i:02d}" for i in range(18)]
     pairs = [(names[i], names[j], float(d[i, j])) for i in range(18) for j in range(i + 1, 18)]
     got = [tuple(r) for r in clustering.complete_linkage(spark.createDataFrame(pairs, "a string, b string, d double"), small=small).collect()]
-    want = linkage_brute(d, names)
-    if ties:  # equal distances leave more than one valid tree
-        assert len(got) == 17 and max(h for _, _, h in got) == max(h for _, _, h in want)
-    else:
-        assert sorted(got) == [(a, b, pytest.approx(h)) for a, b, h in sorted(want)]
+    assert sorted(got) == linkage_brute(pairs)
+
+
+def test_a_chain_of_nearest_clusters_takes_few_rounds(spark, monkeypatch):
+    """Every point's nearest is the one before: one pair at a time would take a round per merge."""
+    at = [1.0 + 0.01 * i for i in range(120)]
+    at = np.cumsum(at)
+    pairs = [(i, j, float(at[j] - at[i])) for i in range(120) for j in range(i + 1, 120)]
+    rounds = []
+    pieces = clustering._pieces
+    monkeypatch.setattr(clustering, "_pieces", lambda *a: rounds.append(1) or pieces(*a))
+    frame = spark.createDataFrame(pairs, "a int, b int, d double")
+    got = clustering.complete_linkage(frame, small=40)
+    assert sorted(map(tuple, got.collect())) == linkage_brute(pairs) and len(rounds) <= 2 * np.log2(120)
+
+
+def test_copies_join_their_head(spark):
+    tree = spark.createDataFrame([("s", "a", "c", 2.0)], "g string, left string, right string, height double")
+    copies = spark.createDataFrame([("s", "a", "a"), ("s", "a", "b"), ("s", "c", "c"), ("t", "x", "x"), ("t", "x", "y")], "g string, head string, item string")
+    assert sorted(map(tuple, clustering.attach_copies(tree, copies, "g").collect())) == [
+        ("s", "a", "b", 0.0), ("s", "a", "c", 2.0), ("t", "x", "y", 0.0)]
 
 
 def test_linkage_slices(spark):
