@@ -96,7 +96,7 @@ def _(spark, sf):
 def _(spark, sf):
     who = samples(spark, sf).filter("day != 0")
     dist = plans.sample_distances(abundance(spark, sf), who, double=True)
-    o = plans.ordinate(dist, who, "sex", permutations=999)
+    o = plans.ordinate(dist, who, "sex", permutations=9999)
     flat = lambda df, kind, name, axis, value: df.select(
         F.lit(kind).alias("kind"), F.col(name).cast("string").alias("name"), F.expr(axis).alias("axis"), F.col(value).alias("value"))
     return (flat(o.coords, "sample", "sample", "axis", "value").unionByName(flat(o.centroids, "centroid", "sex", "axis", "value"))
@@ -109,7 +109,7 @@ def _pairwise_sql(where):
     co AS (SELECT x.cohort || '-' || y.cohort AS combination, x.cohort AS level1, y.cohort AS level2 FROM lv x JOIN lv y ON x.cohort < y.cohort),
     member AS (SELECT combination, sample, cohort AS label FROM sm JOIN co ON cohort = level1 OR cohort = level2),
     pd AS (SELECT x.combination, a, b, d FROM bray JOIN member x ON x.sample = a JOIN member y ON y.sample = b AND y.combination = x.combination),
-    {_sql_permanova(999)}, adj AS (SELECT *, least(1, p * COUNT(*) OVER ()) AS p_adj FROM tests)
+    {_sql_permanova(9999)}, adj AS (SELECT *, least(1, p * COUNT(*) OVER ()) AS p_adj FROM tests)
     SELECT combination, level1, level2, n, df, {_PERM_OUT}, round(p_adj, 6) AS p_adj FROM adj JOIN co USING (combination)"""
 
 
@@ -118,7 +118,7 @@ def _(spark, sf):
     from quadrat.operators.permanova import permanova_pairwise
     who = samples(spark, sf).filter("day < 3")
     dist = plans.sample_distances(abundance(spark, sf), who)
-    return rounded(permanova_pairwise(dist, who, "cohort", 999, "bonferroni"))
+    return rounded(permanova_pairwise(dist, who, "cohort", 9999, "bonferroni"))
 
 
 WINDOWS = {f"{a}-{b}": (a, b) for a, b in zip(TIMEPOINTS[:-1], TIMEPOINTS[1:])}

@@ -186,11 +186,36 @@ def _count_pairs(frequent: Bitmap):
     return run
 
 
+class _Held:
+    """Counted suffixes of a task: equal ones are merged whenever those added since the last time outnumber the rest."""
+
+    def __init__(self):
+        self.parts, self.size, self.merged = [], 0, 0
+
+    def add(self, key, n, route, words, phrase) -> None:
+        self.parts.append((key, n, route, words, phrase))
+        self.size += len(key)
+        if self.size > 2 * self.merged + 200_000:
+            self.merge()
+
+    def merge(self) -> None:
+        key, n, *rest = (np.concatenate(c) for c in zip(*self.parts))
+        key, first, of = np.unique(key, return_index=True, return_inverse=True)
+        n = np.bincount(of, weights=n, minlength=len(key)).astype(np.int64)
+        self.parts, self.size, self.merged = [(key, n, *(c[first] for c in rest))], len(key), len(key)
+
+    def rows(self, lang: str) -> Iterator[tuple]:
+        if self.parts:
+            self.merge()
+            _, n, route, words, phrase = self.parts[0]
+            for r, m, p, c in zip(route.tolist(), words.tolist(), phrase.tolist(), n.tolist()):
+                yield lang, None if m < ROUTE else r, p, c
+
+
 def _cut_suffixes(frequent: Bitmap, pairs: Bitmap):
     """Counted suffixes of frequent pairs: those of three words and more with their route, and the pairs (route null)."""
     def rows(batches):
-        held: dict[str, dict[int, list]] = {}
-        size = 0
+        held: dict[str, _Held] = defaultdict(_Held)
         for lang, own, code in _coded(batches, frequent):
             pair = joined(code[:-1], code[1:])
             hot = np.append((code[:-1] != 0) & (code[1:] != 0), False)
@@ -199,30 +224,27 @@ def _cut_suffixes(frequent: Bitmap, pairs: Bitmap):
             for _ in range(DEPTH - 2):
                 words = np.where(hot, np.minimum(np.append(words[1:], 1) + 1, DEPTH), 1)
             at = np.flatnonzero(hot)
-            start = code[at]
-            name, route = start, start
+            name = route = code[at]
             for d in range(1, DEPTH):
                 more = words[at] > d
                 nxt = code[np.minimum(at + d, len(code) - 1)]
                 name = np.where(more, joined(name, nxt), name)
                 if d < ROUTE:
                     route = np.where(more, joined(route, nxt), route)
-            mine = held.setdefault(lang, {})
             long = words[at] >= ROUTE
-            for keys, of, length in ((pair[at], at, np.full(len(at), 2)), (name[long], at[long], words[at][long])):
+            # a pair and a longer suffix of the same words are two entries
+            for keys, of, length in ((pair[at], at, np.full(len(at), 2)), (name[long] ^ _U(1), at[long], words[at][long])):
                 key, first, n = np.unique(keys, return_index=True, return_counts=True)
-                where = route[np.searchsorted(at, of[first])].view(np.int64) if len(first) else first
-                for k, i, m, r, c in zip(key.tolist(), of[first].tolist(), length[first].tolist(), where.tolist(), n.tolist()):
-                    entry = mine.get((k, m))
-                    if entry is None:
-                        mine[k, m] = [None if m < ROUTE else r, b" ".join(own[i:i + m]), c]
-                        size += 1
-                    else:
-                        entry[2] += c
-            if size > 300_000:
-                yield from ((of, *e) for of, entries in held.items() for e in entries.values())
-                held, size = {}, 0
-        yield from ((of, *e) for of, entries in held.items() for e in entries.values())
+                where = of[first]
+                phrases = np.empty(len(first), object)
+                phrases[:] = [b" ".join(own[i:i + m]) for i, m in zip(where.tolist(), length[first].tolist())]
+                held[lang].add(key, n, route[np.searchsorted(at, where)].view(np.int64), length[first], phrases)
+            if sum(h.size for h in held.values()) > 1_500_000:
+                for of, h in held.items():
+                    yield from h.rows(of)
+                held.clear()
+        for of, h in held.items():
+            yield from h.rows(of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _batches(rows(batches), _SUFFIXES)
