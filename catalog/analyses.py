@@ -10,6 +10,8 @@ from catalog.base import (LEVELS, REF, TIMEPOINTS, abundance, annotations, chang
 from catalog.clusters import RULES, _RULE_SQL
 from catalog.distances import _PERM_OUT, _sql_permanova
 from quadrat.plans import analyses as plans
+from quadrat.sources import delimited
+from quadrat.storage import scratch_path
 
 OUT = ("M_Day1", "F_Day4")
 _OUT = "cohort NOT IN ('M_Day1', 'F_Day4')"
@@ -121,6 +123,20 @@ def _(spark, sf):
     return rounded(permanova_pairwise(dist, who, "cohort", 9999, "bonferroni"))
 
 
+@query("analysis_cohort_ordinations")
+def _(spark, sf):
+    everyone, inliers = F.lit(True), ~F.col("cohort").isin(*OUT)
+    runs = {"all by cohort": (everyone, "cohort"), "all by sex": (everyone, "sex"), "inliers by cohort": (inliers, "cohort")}
+    o = plans.ordinations_by_run(abundance(spark, sf), samples(spark, sf), runs)
+    path = scratch_path(spark, "cohorts")
+    delimited.write_table(o["points"], path)
+    points = delimited.read_delimited(spark, path, "run string, sample string, pcoa1 double, pcoa2 double, level string")
+    flat = lambda df, kind, name, axis, value: df.select("run", F.lit(kind).alias("kind"), F.col(name).cast("string").alias("name"), F.expr(axis).alias("axis"), F.col(value).alias("value"))
+    out = flat(points, "sample", "sample", "1", "pcoa1").unionByName(flat(points, "sample", "sample", "2", "pcoa2"))
+    return (out.unionByName(flat(o["centroids"], "centroid", "level", "axis", "value")).unionByName(flat(o["axes"], "percent", "axis", "axis", "percent"))
+            .unionByName(flat(o["ellipses"], "radius", "level", "0", "radius")))
+
+
 WINDOWS = {f"{a}-{b}": (a, b) for a, b in zip(TIMEPOINTS[:-1], TIMEPOINTS[1:])}
 _WIN = " UNION ALL ".join(f"SELECT '{w}' AS win, '{t}' AS timepoint" for w, pair in WINDOWS.items() for t in pair)
 _WTAXA = f"""ws AS (SELECT win, s.* FROM samples s JOIN ({_WIN}) USING (timepoint)),
@@ -182,6 +198,17 @@ def _(spark, sf):
     return rounded(_profiles(spark, sf)["boxes"].withColumn("position", F.col("position").cast("bigint")))
 
 
+@query("analysis_taxon_profile_densities", f"""WITH {_MTAXA}, st AS (SELECT taxon, grp, COUNT(*) AS n, MIN(v) AS lo, MAX(v) AS hi, MAX(abs(v)) AS big, stddev_samp(v) AS sd, (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34 AS iqr FROM lt GROUP BY 1, 2),
+    bw AS (SELECT *, 0.9e0 * CASE WHEN least(sd, iqr) > 0 THEN least(sd, iqr) WHEN sd > 0 THEN sd WHEN big > 0 THEN big ELSE 1 END * pow(n, -0.2) AS bw FROM st),
+    ends AS (SELECT *, lo - 3 * bw AS first, (hi + 3 * bw - (lo - 3 * bw)) / 511e0 AS step FROM bw),
+    placed AS (SELECT e.*, (v - first) / step AS spot, least(floor((v - first) / step), 510) AS low FROM lt JOIN ends e USING (taxon, grp)),
+    bins AS (SELECT taxon, grp, bin, SUM(w) AS w FROM (SELECT taxon, grp, low AS bin, low + 1 - spot AS w FROM placed UNION ALL SELECT taxon, grp, low + 1, spot - low FROM placed) GROUP BY 1, 2, 3)
+    SELECT taxon, grp, CAST(point AS INT) AS point, round(first + point * step, 6) AS x, round(SUM(w * exp(-0.5 * pow((point - bin) * step / bw, 2))) / (sqrt(2 * pi()) * bw * n), 6) AS density, position
+    FROM bins JOIN ends USING (taxon, grp) JOIN pos USING (taxon), (SELECT unnest(range(0, 512)) AS point) GROUP BY taxon, grp, point, first, step, bw, n, position""", ["totals", "samples", "taxonomy"])
+def _(spark, sf):
+    return rounded(_profiles(spark, sf)["density"].withColumn("position", F.col("position").cast("bigint")))
+
+
 def _carbs(spark, sf):
     return plans.carbohydrate_profile(gene_counts(spark, sf), change_groups(spark, sf), ["feature", "change_direction"], suffixes=())
 
@@ -300,11 +327,11 @@ def _(spark, sf):
     return plans.subject_scores(samples(spark, sf), OUT)
 
 
-@query("analysis_transit_time", f"""WITH RECURSIVE lg AS (SELECT subject, injury AS grp, '1 week' AS timepoint, d7 AS t FROM transit_wide UNION ALL SELECT subject, injury, '2 weeks', d15 FROM transit_wide UNION ALL SELECT subject, injury, '3 weeks', d21 FROM transit_wide),
+@query("analysis_transit_time", f"""WITH RECURSIVE lg AS (SELECT subject, injury AS grp, '1 week' AS timepoint, d7 AS t FROM transit_wide UNION ALL SELECT subject, injury, '2 weeks', d15 FROM transit_wide UNION ALL SELECT subject, injury, '3 weeks', d21 FROM transit_wide UNION ALL SELECT subject, injury, '4 weeks', d31 FROM transit_wide),
     l2 AS (SELECT * FROM lg WHERE t IS NOT NULL), {sql_nulls("SELECT CAST(x.c AS INT) AS m, CAST(y.c AS INT) AS k FROM (SELECT timepoint, COUNT(*) AS c FROM l2 WHERE grp = 'Lam' GROUP BY 1) x JOIN (SELECT timepoint, COUNT(*) AS c FROM l2 WHERE grp = 'T9' GROUP BY 1) y USING (timepoint) WHERE x.c < 50 AND y.c < 50")},
     w AS ({sql_wilcox('l2', 'timepoint', 't', 'grp', "SELECT 'Lam' AS group1, 'T9' AS group2", 'two.sided', True)}), adj AS ({sql_bh('w', 'p', 'timepoint')}),
     md AS (SELECT timepoint, grp, median(t) AS med FROM l2 GROUP BY 1, 2)
     SELECT adj.timepoint, {_TEST}, round(p_adj, 6) AS p_adj, {_MEDIANS} FROM adj JOIN md m1 ON m1.timepoint = adj.timepoint AND m1.grp = group1 JOIN md m2 ON m2.timepoint = adj.timepoint AND m2.grp = group2""", ["transit_wide"])
 def _(spark, sf):
     return rounded(plans.transit_time(transit_wide(spark, sf), ["subject", "injury"], "injury", "Lam", ["Lam", "T9"],
-                                      {"d7": "1 week", "d15": "2 weeks", "d21": "3 weeks"}))
+                                      {"d7": "1 week", "d15": "2 weeks", "d21": "3 weeks", "d31": "4 weeks"}))

@@ -75,7 +75,8 @@ VIEW_SQL = {
     "mapping": """SELECT c_custkey AS sample, 1 + c_nationkey % 3 AS grp_code, 1e2 * AVG(CASE WHEN o_orderstatus = 'F' THEN 1e0 ELSE 0e0 END) AS pct_mapped
         FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2""",
     "transit_wide": """SELECT user_id AS subject, CASE WHEN user_id % 2 = 0 THEN 'Lam' ELSE 'T9' END AS injury,
-        AVG(CASE WHEN day(ts) <= 7 THEN value END) AS d7, AVG(CASE WHEN day(ts) BETWEEN 8 AND 15 THEN value END) AS d15, AVG(CASE WHEN day(ts) BETWEEN 16 AND 21 THEN value END) AS d21
+        AVG(CASE WHEN day(ts) <= 7 THEN value END) AS d7, AVG(CASE WHEN day(ts) BETWEEN 8 AND 15 THEN value END) AS d15, AVG(CASE WHEN day(ts) BETWEEN 16 AND 21 THEN value END) AS d21,
+        AVG(CASE WHEN day(ts) > 21 THEN value END) AS d31
         FROM events GROUP BY 1, 2""",
     "rel": "SELECT sample, feature, 100 * value / SUM(value) OVER (PARTITION BY sample) AS rel_abund FROM abundance",
     "totals": "SELECT sample, SUM(value) AS total FROM abundance GROUP BY 1",
@@ -190,7 +191,7 @@ def transit_wide(spark, sf):
         F.col("user_id").alias("subject"),
         F.when(F.col("user_id") % 2 == 0, "Lam").otherwise("T9").alias("injury")).agg(
         mean(day <= 7).alias("d7"), mean(day.between(8, 15)).alias("d15"),
-        mean(day.between(16, 21)).alias("d21"))
+        mean(day.between(16, 21)).alias("d21"), mean(day > 21).alias("d31"))
 
 
 def embedding_cells(spark, sf):

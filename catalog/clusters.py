@@ -39,11 +39,31 @@ def _(spark, sf):
     return coords
 
 
-@query("group_ellipses")
+_FULL = "1.4e0"  # weight of a point at the centre, 1 + 2 / nu
+_Q = "(({p}syy * dx * dx - 2 * {p}sxy * dx * dy + {p}sxx * dy * dy) / ({p}sxx * {p}syy - {p}sxy * {p}sxy))"
+
+
+def _sql_weight(old: bool) -> str:
+    p = "o" if old else ""
+    q = _Q.format(p=p).replace("dx", f"(x - {p}cx)").replace("dy", f"(y - {p}cy)")
+    return f"({_FULL} / (1 + {q} / 5))"
+
+
+@query("group_ellipses", f"""WITH RECURSIVE pts AS (SELECT label AS g, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings WHERE label IS NOT NULL),
+    start AS (SELECT g, COUNT(*) AS n, AVG(x) AS cx, AVG(y) AS cy, var_pop(x) AS sxx, covar_pop(x, y) AS sxy, var_pop(y) AS syy FROM pts GROUP BY 1),
+    it AS (SELECT 0 AS i, *, CAST(NULL AS DOUBLE) AS ocx, CAST(NULL AS DOUBLE) AS ocy, CAST(NULL AS DOUBLE) AS osxx, CAST(NULL AS DOUBLE) AS osxy, CAST(NULL AS DOUBLE) AS osyy,
+        0e0 AS fxx, 0e0 AS fxy, 0e0 AS fyy, 1e0 AS moved FROM start WHERE n >= 4 AND sxx * syy - sxy * sxy > 0
+      UNION ALL SELECT i + 1, g, n, cx + wx / w, cy + wy / w, xx / w - (wx / w) * (wx / w), xy / w - (wx / w) * (wy / w), yy / w - (wy / w) * (wy / w), cx, cy, sxx, sxy, syy, xx / n, xy / n, yy / n, m FROM (
+        SELECT i, g, n, cx, cy, sxx, sxy, syy, SUM(w) AS w, SUM(w * (x - cx)) AS wx, SUM(w * (y - cy)) AS wy, SUM(w * (x - cx) * (x - cx)) AS xx, SUM(w * (x - cx) * (y - cy)) AS xy, SUM(w * (y - cy) * (y - cy)) AS yy,
+          MAX(abs(w - w0)) AS m FROM (SELECT it.*, x, y, {_sql_weight(False)} AS w, coalesce({_sql_weight(True)}, {_FULL}) AS w0 FROM it JOIN pts USING (g) WHERE moved >= 0.01 AND i < 25) GROUP BY ALL)),
+    last AS (SELECT * FROM it WHERE i > 0 QUALIFY ROW_NUMBER() OVER (PARTITION BY g ORDER BY i DESC) = 1)
+    SELECT s.g AS label, s.n, round(l.cx, 6) AS cx, round(l.cy, 6) AS cy, round(l.fxx, 6) AS sxx, round(l.fxy, 6) AS sxy, round(l.fyy, 6) AS syy,
+      CASE WHEN l.i IS NOT NULL THEN round(sqrt((s.n - 1) * (pow(0.25, -2e0 / (s.n - 1)) - 1)), 6) END AS radius, CAST(coalesce(l.i, 0) AS INT) AS iterations
+    FROM start s LEFT JOIN last l ON l.g = s.g""")
 def _(spark, sf):
     points = table(spark, sf, "embeddings").select(
         F.col("embedding")[0].cast("double").alias("pcoa1"), F.col("embedding")[1].cast("double").alias("pcoa2"), "label")
-    return ordination.group_ellipse(points, "label", 0.75)
+    return rounded(ordination.group_ellipse(points, "label", 0.75))
 
 
 @query("complete_linkage", f"""WITH RECURSIVE cells AS (SELECT 0 AS slice, feature AS sample, sample AS feature, CAST(value AS DOUBLE) AS value FROM abundance), prs AS ({sql_euclid('cells')}), {sql_linkage('prs')}

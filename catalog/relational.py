@@ -59,7 +59,7 @@ def _(spark, sf):
     return delimited.read_delimited(spark, path, "representative string, member string", "\t", False)
 
 
-@query("source_after_preamble", "SELECT subject, injury, round(d7, 6) AS d7, round(d15, 6) AS d15, round(d21, 6) AS d21 FROM transit_wide", ["transit_wide"])
+@query("source_after_preamble", "SELECT subject, injury, round(d7, 6) AS d7, round(d15, 6) AS d15, round(d21, 6) AS d21, round(d31, 6) AS d31 FROM transit_wide", ["transit_wide"])
 def _(spark, sf):
     path = scratch_path(spark, "preamble")
     wide = transit_wide(spark, sf)
@@ -74,7 +74,7 @@ def _(spark, sf):
             yield pd.DataFrame({"value": head + list(pdf["value"])})
 
     lines.repartition(4).mapInPandas(with_head, "value string").write.text(path)
-    out = delimited.read_after_preamble(spark, path, 2, "subject bigint, injury string, d7 double, d15 double, d21 double")
+    out = delimited.read_after_preamble(spark, path, 2, "subject bigint, injury string, d7 double, d15 double, d21 double, d31 double")
     return rounded(out)
 
 
@@ -297,9 +297,9 @@ def _(spark, sf):
     return table(spark, sf, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("top")).filter("top >= 300000")
 
 
-@query("drop_null_and_blank", "SELECT subject, d7 IS NOT NULL AS early FROM transit_wide WHERE d21 IS NOT NULL AND injury <> ''", ["transit_wide"])
+@query("drop_null_and_blank", "SELECT subject, d7 IS NOT NULL AS early, d31 IS NOT NULL AS late FROM transit_wide WHERE d21 IS NOT NULL AND injury <> ''", ["transit_wide"])
 def _(spark, sf):
-    return transit_wide(spark, sf).filter(F.col("d21").isNotNull() & (F.col("injury") != "")).select("subject", F.col("d7").isNotNull().alias("early"))
+    return transit_wide(spark, sf).filter(F.col("d21").isNotNull() & (F.col("injury") != "")).select("subject", F.col("d7").isNotNull().alias("early"), F.col("d31").isNotNull().alias("late"))
 
 
 @query("prefix_filter", "SELECT gene_id, feature, gene_freq FROM gene_counts WHERE starts_with(gene_id, 'GH')", ["gene_counts"])
@@ -393,7 +393,7 @@ def _(spark, sf):
 
 # ---- reshape -----------------------------------------------------------------------
 
-@query("unpivot_all_but_ids", "SELECT subject, injury, timepoint, round(t, 6) AS t FROM (SELECT subject, injury, 'd7' AS timepoint, d7 AS t FROM transit_wide UNION ALL SELECT subject, injury, 'd15', d15 FROM transit_wide UNION ALL SELECT subject, injury, 'd21', d21 FROM transit_wide)", ["transit_wide"])
+@query("unpivot_all_but_ids", "SELECT subject, injury, timepoint, round(t, 6) AS t FROM (SELECT subject, injury, 'd7' AS timepoint, d7 AS t FROM transit_wide UNION ALL SELECT subject, injury, 'd15', d15 FROM transit_wide UNION ALL SELECT subject, injury, 'd21', d21 FROM transit_wide UNION ALL SELECT subject, injury, 'd31', d31 FROM transit_wide)", ["transit_wide"])
 def _(spark, sf):
     return rounded(transit_wide(spark, sf).unpivot(["subject", "injury"], None, "timepoint", "t"))
 
@@ -403,16 +403,20 @@ def _(spark, sf):
     return normalize.taxonomy_long(taxonomy(spark, sf), ["phylum", "genus", "species"])
 
 
-@query("pivot_wider", "SELECT sample, SUM(value) FILTER (phylum = 'p__PROMO') AS p__PROMO, SUM(value) FILTER (phylum = 'p__SMALL') AS p__SMALL FROM abundance JOIN taxonomy USING (feature) GROUP BY 1", ["abundance", "taxonomy"])
+_PHYLA = [f"p__{t}" for t in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")]
+_LANGS = ["de", "en", "es", "fr"]
+
+
+@query("pivot_wider", "SELECT sample, " + ", ".join(f"SUM(value) FILTER (phylum = '{p}') AS {p}" for p in _PHYLA) + " FROM abundance JOIN taxonomy USING (feature) GROUP BY 1", ["abundance", "taxonomy"])
 def _(spark, sf):
     taxa = normalize.collapse(abundance(spark, sf), taxonomy(spark, sf), "phylum")
-    return genes.pivot_profile(taxa, ["sample"], "taxon", ["p__PROMO", "p__SMALL"], "value")
+    return genes.pivot_profile(taxa, ["sample"], "taxon", _PHYLA, "value")
 
 
-@query("pivot_wider_fill_zero", "SELECT doc_id % 97 AS k, COUNT(*) FILTER (lang = 'en') AS en, COUNT(*) FILTER (lang = 'fr') AS fr FROM documents GROUP BY 1")
+@query("pivot_wider_fill_zero", "SELECT doc_id % 97 AS k, " + ", ".join(f"COUNT(*) FILTER (lang = '{g}') AS {g}" for g in _LANGS) + " FROM documents GROUP BY 1")
 def _(spark, sf):
     counts = table(spark, sf, "documents").groupBy((F.col("doc_id") % 97).alias("k"), "lang").agg(F.count(F.lit(1)).alias("n"))
-    return genes.pivot_profile(counts, ["k"], "lang", ["en", "fr"], "n", fill=0)
+    return genes.pivot_profile(counts, ["k"], "lang", _LANGS, "n", fill=0)
 
 
 @query("spread_members_and_back", "SELECT representative, CAST(ROW_NUMBER() OVER (PARTITION BY representative ORDER BY member) AS INT) AS no, member FROM clusters", ["clusters"])
@@ -561,10 +565,12 @@ def _(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", "s_acctbal").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(2)
 
 
-@query("union_by_name", "SELECT subject, round(d7, 6) AS t FROM transit_wide WHERE d7 > 20 UNION ALL SELECT subject, round(d15, 6) FROM transit_wide WHERE d15 > 20", ["transit_wide"])
+@query("union_by_name", " UNION ALL ".join(f"SELECT subject, round({d}, 6) AS t FROM transit_wide WHERE {d} > 20" for d in ("d7", "d15", "d21", "d31")), ["transit_wide"])
 def _(spark, sf):
-    wide = transit_wide(spark, sf).select("subject", F.round("d7", 6).alias("d7"), F.round("d15", 6).alias("d15"))
-    return wide.filter("d7 > 20").select("subject", F.col("d7").alias("t")).unionByName(wide.filter("d15 > 20").select(F.col("d15").alias("t"), "subject"))
+    first, *others = [transit_wide(spark, sf).filter(F.col(d) > 20).select("subject", F.round(d, 6).alias("t")) for d in ("d7", "d15", "d21", "d31")]
+    for other in others:
+        first = first.unionByName(other.select("t", "subject"))
+    return first
 
 
 @query("union_with_source_and_missing", "SELECT '1' AS sheet, s_suppkey AS k, s_acctbal AS bal, NULL AS seg FROM supplier UNION ALL SELECT '2', c_custkey, c_acctbal, c_mktsegment FROM customer")

@@ -110,17 +110,32 @@ def collapse(ab: DataFrame, taxonomy: DataFrame, level: str, value: str = "value
             .agg(F.sum(value).alias(value)))
 
 
+def exact_sum(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Sum per key that does not depend on the order of rows, for values of any size.
+
+    Values are summed as decimals within spans of 32 binary orders, each scaled by its power of two, so
+    that small values keep their digits; the few spans of a key are then added from the largest down.
+    """
+    v = F.col(value).cast("double")
+    span = F.greatest(F.lit(-31), F.least(F.lit(31), F.coalesce(F.floor(F.log2(F.abs(v)) / 32).cast("int"), F.lit(0))))
+    spans = df.select(*keys, span.alias("_span"), (v / F.pow(F.lit(2.0), 32 * span)).cast("decimal(38,20)").alias("_v"))
+    spans = spans.groupBy(*keys, "_span").agg(F.sum("_v").cast("double").alias("_s"))
+    ordered = F.sort_array(F.collect_list(F.struct("_span", "_s")), asc=False)
+    total = F.aggregate(ordered, F.lit(0.0), lambda acc, x: acc + x["_s"] * F.pow(F.lit(2.0), 32 * x["_span"]))
+    return spans.groupBy(*keys).agg(total.alias(out))
+
+
 def taxon_shares(ab: DataFrame, taxonomy: DataFrame, level: str, scale: float = 1.0) -> DataFrame:
     """Share of each taxon of a rank in its sample: ``sample, taxon, rel_abund``.
 
-    Counts are summed exactly (as decimals) and divided once by the sample's exact total, so the value
-    does not depend on the order of the rows and equal counts tie. Null where the total is zero.
+    Sums do not depend on the order of the rows (``exact_sum``) and each share is one division by the
+    sample's sum, so equal counts tie. Null where the total is zero.
     """
-    exact = F.col("value").cast("decimal(38,15)")
-    totals = ab.groupBy("sample").agg(F.sum(exact).cast("double").alias("_total"))
-    taxa = collapse(ab.withColumn("value", exact), taxonomy, level)
-    return taxa.join(totals, "sample").select("sample", "taxon", ratio(
-        F.lit(float(scale)) * F.col("value").cast("double"), F.col("_total")).alias("rel_abund"))
+    ranks = taxonomy.select("feature", F.col(level).alias("taxon"))
+    taxa = exact_sum(ab.join(ranks, "feature"), ["sample", "taxon"], "value", "value")
+    totals = exact_sum(ab, ["sample"], "value", "_total")
+    return taxa.join(totals, "sample").select("sample", "taxon", (F.lit(float(scale)) * ratio(
+        F.col("value"), F.col("_total"))).alias("rel_abund"))
 
 
 def taxonomy_long(taxonomy: DataFrame, ranks: Sequence[str]) -> DataFrame:

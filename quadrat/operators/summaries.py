@@ -43,11 +43,14 @@ def trajectory(df: DataFrame, time: str, group: str, value: str,
 
 
 def kde(df: DataFrame, keys: Sequence[str], value: str, n: int = 512, cut: float = 3.0,
-        weight: str | None = None) -> DataFrame:
+        weight: str | None = None, binned: bool = False) -> DataFrame:
     """Gaussian kernel density on an even grid that reaches ``cut`` bandwidths past the data.
 
     The bandwidth is 0.9 * min(sd, IQR / 1.34) * count^-0.2. Each distinct value
-    meets the n grid points of its key, and the sums combine map-side.
+    meets the n grid points of its key, and the sums combine map-side. With ``binned`` a value
+    first gives its weight to the two grid points beside it, in proportion to its nearness, and only grid points meet: a key
+    costs n * n rows however many values it has, and the density is off by at most (step / bandwidth)^2 / 8 of the
+    kernel's height 0.4 / bandwidth.
     """
     keys = list(keys)
     counts = value_counts(df, keys, value, weight)
@@ -69,7 +72,16 @@ def kde(df: DataFrame, keys: Sequence[str], value: str, n: int = 512, cut: float
     stats = stats.withColumn("bw", F.lit(0.9) * spread * F.pow(F.col("_n"), F.lit(-0.2)))
     stats = stats.select(*keys, "_n", "bw", (F.col("_min") - cut * F.col("bw")).alias("_from"),
                          (F.col("_max") + cut * F.col("bw")).alias("_to"))
-    points = counts.join(stats, keys).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    values = counts.join(stats, keys)
+    if binned:
+        step = (F.col("_to") - F.col("_from")) / F.lit(float(n - 1))
+        place = (v - F.col("_from")) / step
+        low = F.least(F.floor(place), F.lit(n - 2))
+        beside = F.array(F.struct(low.alias("bin"), (w * (low + 1 - place)).alias("w")),
+                         F.struct((low + 1).alias("bin"), (w * (place - low)).alias("w")))
+        bins = values.select(*keys, F.inline(beside)).groupBy(*keys, "bin").agg(F.sum("w").alias("n"))
+        values = bins.join(stats, keys).withColumn(value, F.col("_from") + F.col("bin") * step)
+    points = values.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     x = F.col("_from") + F.col("point") * (F.col("_to") - F.col("_from")) / F.lit(float(n - 1))
     z = (F.col("_x") - v) / F.col("bw")
     kernel = F.col("n") * F.exp(F.lit(-0.5) * z * z)

@@ -113,6 +113,29 @@ def ordinate(dist: DataFrame, samples: DataFrame, factor: str, level: float = 0.
                       permanova.permanova(dist, samples, factor, permutations, seed))
 
 
+def ordinations_by_run(ab: DataFrame, samples: DataFrame, runs: Mapping[str, tuple[Column, str]], level: float = 0.7) -> dict[str, DataFrame]:
+    """Ordinations of several choices of samples, each coloured by a factor: points, centroids, ellipses and axes by ``run``.
+
+    ``runs`` names the predicate on the samples and the factor of each. Runs of one choice share their distances and
+    coordinates; different choices are ordinated one after another.
+    """
+    done: dict[str, tuple[DataFrame, DataFrame, DataFrame]] = {}
+    tables: dict[str, list[DataFrame]] = {"points": [], "centroids": [], "ellipses": [], "axes": []}
+    for run, (chosen, factor) in runs.items():
+        who = samples.filter(chosen)
+        if str(chosen) not in done:
+            coords, axes = ordination.pcoa(sample_distances(ab, who))
+            done[str(chosen)] = (coords, axes, settle(ordination.coords_wide(coords), "points"))
+        coords, axes, wide = done[str(chosen)]
+        points = wide.join(who.select("sample", F.col(factor).cast("string").alias("level")), "sample")
+        named = lambda df: df.select(F.lit(run).alias("run"), "*")
+        tables["points"].append(named(points))
+        tables["centroids"].append(named(ordination.centroids(coords, who.withColumn("level", F.col(factor).cast("string")), "level")))
+        tables["ellipses"].append(named(ordination.group_ellipse(points, "level", level)))
+        tables["axes"].append(named(axes.select("axis", "percent", "constant")))
+    return {name: reduce(DataFrame.unionByName, parts) for name, parts in tables.items()}
+
+
 # ---- taxa --------------------------------------------------------------------------
 
 def taxon_values(ab: DataFrame, samples: DataFrame, taxonomy: DataFrame, level: str,
@@ -178,7 +201,7 @@ def taxon_profiles(ab: DataFrame, samples: DataFrame, taxonomy: DataFrame, level
         "selection": chosen.join(order, "taxon"),
         "tests": tests.join(order, "taxon"),
         "boxes": summaries.box_stats(later, ["taxon", "grp"], "rel_abund", "n").join(order, "taxon"),
-        "density": summaries.kde(later, ["taxon", "grp"], "rel_abund", weight="n"),
+        "density": summaries.kde(later, ["taxon", "grp"], "rel_abund", weight="n", binned=True).join(order, "taxon"),
     }
 
 

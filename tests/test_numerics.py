@@ -106,3 +106,35 @@ def test_pairs_of_levels_with_hyphens(spark):
                                  "a string, b string, d double")
     rows = permanova.permanova_pairwise(dist, samples, "grp", 19).collect()
     assert len(rows) == 10 and {r.n for r in rows} == {8}
+
+
+def test_shares_at_any_scale(spark):
+    """Small and large counts keep their digits, and equal counts tie however the rows arrive."""
+    taxonomy = spark.createDataFrame([(f"f{i}", f"t{i % 3}") for i in range(300)], "feature string, species string")
+    for scale in (3e-17, 1.2e-12, 1.0, 1e24, 1e-280, 1e250):
+        rows = [("s", f"f{i}", scale * (1 + i // 3 % 7)) for i in range(300)]
+        got = []
+        for seed in (1, 2):
+            random.Random(seed).shuffle(rows)
+            frame = spark.createDataFrame(rows, "sample string, feature string, value double").repartition(seed + 2)
+            got.append({r.taxon: r.rel_abund for r in normalize.taxon_shares(frame, taxonomy, "species").collect()})
+        assert got[0] == got[1] and len(set(got[0].values())) == 1
+        assert got[0]["t0"] == pytest.approx(1 / 3, rel=1e-15)
+    mixed = [("s", "f0", 1e24), ("s", "f1", 1e-12), ("s", "f4", 2e-12), ("z", "f0", 0.0), ("n", "f0", -2.0), ("n", "f1", 4.0)]
+    got = {(r.sample, r.taxon): r.rel_abund for r in normalize.taxon_shares(
+        spark.createDataFrame(mixed, "sample string, feature string, value double"), taxonomy, "species").collect()}
+    assert got["s", "t1"] == pytest.approx(3e-36, rel=1e-14) and got["s", "t0"] == 1.0
+    assert got["z", "t0"] is None and got["n", "t0"] == -1.0 and got["n", "t1"] == 2.0
+
+
+def test_binned_density_is_within_its_bound(spark):
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.normal(size=300), rng.normal(5, 0.2, size=100), [0.0] * 40])
+    frame = spark.createDataFrame([("k", float(v)) for v in values], "key string, v double")
+    exact, binned = ({r.point: (r.x, r.density) for r in summaries.kde(frame, ["key"], "v", binned=b).collect()} for b in (False, True))
+    assert [exact[p][0] for p in range(512)] == [binned[p][0] for p in range(512)]
+    step = exact[1][0] - exact[0][0]
+    spread = min(np.std(values, ddof=1), np.subtract(*np.percentile(values, [75, 25])) / 1.34)
+    bandwidth = 0.9 * spread * len(values) ** -0.2
+    bound = (step / bandwidth) ** 2 / 8 * 0.4 / bandwidth
+    assert max(abs(exact[p][1] - binned[p][1]) for p in range(512)) <= bound
