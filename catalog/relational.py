@@ -7,14 +7,13 @@ import re
 import zipfile
 
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.base import (TIMEPOINTS, abundance, change_groups, clusters, gene_counts, mapping, quality, query,
                           rounded, samples, table, taxonomy, transit_wide)
 from quadrat.functions import columns as C
 from quadrat.operators import distance, genes, normalize, origins
-from quadrat.operators.counts import exact_median
+from quadrat.operators.counts import exact_median, numbered
 from quadrat.sources import delimited, fasta, workbook
 from quadrat.storage import scratch_path, settle
 
@@ -532,8 +531,7 @@ def _(spark, sf):
 
 @query("row_number_in_group", "SELECT representative, member, ROW_NUMBER() OVER (PARTITION BY representative ORDER BY member) AS no FROM clusters", ["clusters"])
 def _(spark, sf):
-    w = Window.partitionBy("representative").orderBy("member")
-    return clusters(spark, sf).select("representative", "member", F.row_number().over(w).cast("bigint").alias("no"))
+    return numbered(clusters(spark, sf).select("representative", "member"), ["representative"], "member")
 
 
 @query("group_predicate_on_rows", "SELECT o_orderkey, bool_and(o_orderstatus = 'F') OVER (PARTITION BY o_custkey) AS settled FROM orders")

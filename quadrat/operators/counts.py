@@ -100,3 +100,37 @@ def exact_quantiles(counts: DataFrame, keys: Sequence[str], value: str,
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median",
                  weight: str | None = None) -> DataFrame:
     return exact_quantiles(value_counts(df, keys, value, weight), keys, value, {name: 0.5})
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: str, *ties: str, out: str = "no") -> DataFrame:
+    """Rows with their number within the key, from 1, by a numeric column and then by ``ties``; nulls come first.
+
+    Rows are sorted within buckets of the value only; bucket sizes supply what comes before, so a key with a third of
+    all rows is sorted by as many tasks as it has buckets.
+    """
+    keys = list(keys)
+    v = F.col(order).cast("double")
+    rows = df.withColumn("_bucket", F.when(F.isnan(v), F.lit(2 * _FAR)).otherwise(F.coalesce(value_bucket(v), F.lit(-2 * _FAR))))
+    sizes = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_in"))
+    of_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = sizes.select(*keys, "_bucket", (F.sum("_in").over(of_key.orderBy("_bucket")) - F.col("_in")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(order, *ties))
+    return (rows.withColumn("_own", own).join(before, [*keys, "_bucket"])
+            .withColumn(out, F.col("_before") + F.col("_own")).drop("_bucket", "_own", "_before"))
+
+
+def following_minimum(df: DataFrame, keys: Sequence[str], order: str, value: Column, *ties: Column, out: str = "_least") -> DataFrame:
+    """Smallest ``value`` among a row and all after it by a numeric column, then ``ties``, within the key.
+
+    Within a bucket of the order column by a window; the smallest of all later buckets is carried over a table of buckets.
+    """
+    keys = list(keys)
+    rows = df.withColumns({"_bucket": value_bucket(F.col(order)), "_value": value})
+    onward = lambda w: w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    lows = rows.groupBy(*keys, "_bucket").agg(F.min("_value").alias("_low"))
+    of_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    later = lows.select(*keys, "_bucket", F.min("_low").over(
+        of_key.orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    own = F.min("_value").over(onward(Window.partitionBy(*keys, "_bucket").orderBy(order, *ties)))
+    return (rows.withColumn("_own", own).join(later, [*keys, "_bucket"])
+            .withColumn(out, F.least("_own", "_later")).drop("_bucket", "_value", "_own", "_later"))

@@ -12,12 +12,12 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.functions.columns import ratio
 from quadrat.functions.special import chi2_tail, normal_tail
-from quadrat.operators.counts import midrank, positions
+from quadrat.operators.counts import following_minimum, midrank, positions
 from quadrat.operators.multitest import p_adjust
 from quadrat.storage import settle
 
@@ -295,9 +295,7 @@ def _searched_statistics(rows: DataFrame, test: list[str], value: str) -> DataFr
     # the bracket's upper end is a trial value: take the largest difference x - y that does not exceed it
     met = rows.select(*test, value, "n", "_first").join(state.select(*test, "_goal", "_hi"), test)
     at = F.when(x, F.col(value) - F.col("_hi")).otherwise(F.col(value))
-    following = Window.partitionBy(*test, "_goal").orderBy("_at", F.col("_first").desc()).rowsBetween(
-        Window.currentRow, Window.unboundedFollowing)
-    nearest = met.withColumn("_at", at).withColumn("_y", F.min(F.when(~x, F.col(value))).over(following))
+    nearest = following_minimum(met.withColumn("_at", at), [*test, "_goal"], "_at", F.when(~x, F.col(value)), F.col("_first").desc(), out="_y")
     reached = nearest.filter(x).groupBy(*test, "_goal").agg(F.max(F.col(value) - F.col("_y")).alias("_d"))
     return reached.groupBy(*test).agg(*[
         F.max(F.when(F.col("_goal") == s, F.col("_d"))).alias(s) for s in _STATISTICS])

@@ -2,10 +2,12 @@
 
 import itertools
 import math
+import random
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quadrat.operators import counts as K
@@ -178,3 +180,20 @@ def test_single_value_trajectory_has_null_sd(spark):
     df = spark.createDataFrame([("t", "g", 2.0)], "time string, grp string, v double")
     r = S.trajectory(df, "time", "grp", "v").head()
     assert (r.median, r.sd, r.y_min) == (2.0, None, None)
+
+
+def test_numbers_and_following_minima_over_buckets(spark):
+    """Against plain windows, with ties, nulls, negative and very large values, and a key with most rows."""
+    rng = random.Random(3)
+    rows = [("hot" if rng.random() < 0.7 else f"k{rng.randrange(3)}", i,
+             rng.choice([None, 0.0, 1e300, -1e-300, float(rng.randrange(-40, 40)), rng.gauss(0, 1e4)]), rng.random()) for i in range(1_500)]
+    df = spark.createDataFrame(rows, "g string, id int, v double, y double").repartition(6)
+    got = {(r.g, r.id): r.no for r in K.numbered(df, ["g"], "v", "id").collect()}
+    plain = Window.partitionBy("g").orderBy("v", "id")
+    assert got == {(r.g, r.id): r.no for r in df.withColumn("no", F.row_number().over(plain)).collect()}
+    assert K.numbered(df, [], "v", "id").agg(F.max("no"), F.countDistinct("no")).head()[:] == (1_500, 1_500)
+    known = df.filter("v IS NOT NULL")
+    onward = plain.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    want = {(r.g, r.id): r.m for r in known.withColumn("m", F.min(F.when(F.col("id") % 3 == 0, F.col("y"))).over(onward)).collect()}
+    least = K.following_minimum(known, ["g"], "v", F.when(F.col("id") % 3 == 0, F.col("y")), F.col("id"), out="m")
+    assert {(r.g, r.id): r.m for r in least.collect()} == want
