@@ -5,7 +5,9 @@ div, ...) named by their generalised path: the tags and classes from the body
 down, digits replaced. A container scores the text of its own blocks that is
 not in links, and a share of what its children score; articles and bodies of
 text by name count more, and nothing inside menus, headers, footers, sidebars,
-notices, adverts, forms and comments counts. Each page votes for the path of
+notices, adverts, forms and comments counts. A form, or a container that only its name makes
+furniture, is taken back where nearly all text of the page stands in it (wrappers of whole pages);
+names after has, no, with or without say nothing. Each page votes for the path of
 its best container; votes are summed per host in Spark, and every page is
 extracted anew from the containers at its host's winning path. A page that
 lacks it uses its own best container.
@@ -21,6 +23,7 @@ import html
 import re
 from dataclasses import dataclass, field
 
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +39,11 @@ BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote hr
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe svg select button title object canvas math "
                 "audio video".split())
-LEFT_OUT = frozenset("nav header footer aside form menu dialog fieldset".split())
+LEFT_OUT = frozenset("nav header footer aside menu dialog fieldset".split())
+# Elements whose text runs to the end of the page where they are not closed.
+ENDLESS = frozenset("script style textarea iframe title".split())
+# Cells and rows of tables, and what a new one closes.
+CLOSED_BY = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "tbody": ("tbody", "tr", "td", "th")}
 # Parts of class and id names of what is not the article, and of what is.
 FURNITURE = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment "
                       "comments commentlist consent cookie cookies disqus footer gdpr header login masthead menu modal "
@@ -44,6 +51,11 @@ FURNITURE = frozenset("ad ads adv advert adverts advertisement advertising banne
                       "promotion recommended related replies reply respond responses share sharing sidebar signup skip "
                       "social sponsor sponsored subscribe subscription toolbar widget widgets alert".split())
 ARTICLE = frozenset("article body content entry main post story text".split())
+# Names that are never taken back, and words that turn the next one around.
+READERS = frozenset("comment comments commentlist disqus replies reply respond responses".split())
+TURNED = frozenset("has no not with without".split())
+#: A container is taken back if it holds that many characters, and that many times those left outside.
+TAKEN_BACK, TIMES = 200, 8
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
@@ -51,6 +63,7 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"""(?:^|\s)(class|id)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"']++)""", re.I)
 _PARTS = re.compile(r"[^a-z]+")
 _DIGITS = re.compile(r"[0-9]+")
+_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
@@ -61,14 +74,60 @@ class Container:
     parent: int
     out: bool
     weight: float
+    soft: bool = False  # left out by its name only
     own: int = 0
     blocks: list[tuple[int, str]] = field(default_factory=list)
 
 
+def furniture(names: dict[str, str]) -> tuple[bool, bool, set[str]]:
+    """Whether class and id name furniture, and readers' comments; and all parts of the names."""
+    parts, said = set(), set()
+    for value in names.values():
+        for name in value.split():
+            own = [x for x in _PARTS.split(name) if x]
+            parts.update(own)
+            said.update(x for before, x in zip(["", *own], own) if before not in TURNED)
+    return bool(said & FURNITURE), bool(said & READERS), parts
+
+
+def settled(found: list[Container], readers: set[int]) -> list[Container]:
+    """Decide which containers left out by name are taken back; ``out`` then holds for all below what stays out.
+
+    From the page down: one that holds nearly all of the text counted so far and its own is taken back, and
+    those in it are looked at in turn.
+    """
+    inside = [0] * len(found)  # text at and below, without readers' comments and what tags leave out
+    for i in range(len(found) - 1, -1, -1):
+        c = found[i]
+        inside[i] += 0 if c.out else c.own
+        if c.parent >= 0 and i not in readers:
+            inside[c.parent] += inside[i]
+    soft = [False] * len(found)
+    for i, c in enumerate(found):
+        soft[i] = c.soft or (c.parent >= 0 and soft[c.parent])
+    kept = sum(c.own for i, c in enumerate(found) if not c.out and not soft[i])
+    for i, c in enumerate(found):
+        above = c.parent >= 0 and found[c.parent].out
+        if c.soft and not c.out and not above and i not in readers and inside[i] >= max(TAKEN_BACK, TIMES * kept):
+            c.soft = False
+            # what is in it and under no other name counts now
+            clear = {i}
+            for j in range(i + 1, len(found)):
+                if found[j].parent in clear and not found[j].soft:
+                    clear.add(j)
+            kept += sum(found[j].own for j in clear if not found[j].out)
+        c.out = c.out or above or c.soft
+    for c in found:
+        if c.out:
+            c.blocks, c.own = [], 0
+    return found
+
+
 def read_page(page: str) -> list[Container]:
     """Containers in page order; blocks are (position in the page, text) of what is not left out."""
     found = [Container("", "", -1, False, 1.0)]
     stack, links, linked, words, block = [0], 0, 0, [], 0
+    readers: set[int] = set()
 
     def flush():
         nonlocal linked, words, block
@@ -88,7 +147,7 @@ def read_page(page: str) -> list[Container]:
         if links:
             linked += len(text)
 
-    at, lower = 0, None
+    at = 0
     while True:
         m = _TOKEN.search(page, at)
         if not m:
@@ -108,9 +167,9 @@ def read_page(page: str) -> list[Container]:
             links = 0 if closing else 1
         if tag in RAW:
             if not closing and not rest.endswith("/"):
-                lower = page.lower() if lower is None else lower
-                end = lower.find(f"</{tag}", at)
-                at = len(page) if end < 0 else end
+                end = _END[tag].search(page, at)
+                if end or tag in ENDLESS:
+                    at = end.start() if end else len(page)
             continue
         if tag in BLOCKS:
             flush()
@@ -121,17 +180,25 @@ def read_page(page: str) -> list[Container]:
             if open_at:
                 del stack[open_at:]
         elif not rest.endswith("/") or tag not in VOID:
+            if tag in CLOSED_BY:
+                table = next((i for i in range(len(stack) - 1, 0, -1) if found[stack[i]].tag == "table"), 0)
+                ends = next((i for i in range(table + 1, len(stack)) if found[stack[i]].tag in CLOSED_BY[tag]), None)
+                if ends is not None:
+                    del stack[ends:]
             names = {k.lower(): html.unescape(v.strip("\"'")).lower() for k, v in _NAMES.findall(rest)}
             classes = _DIGITS.sub("#", ".".join(sorted(names.get("class", "").split())))
-            parts = {x for v in names.values() for x in _PARTS.split(v) if x}
+            named, by_readers, parts = furniture(names)
             above = found[stack[-1]]
-            out = above.out or tag in LEFT_OUT or (tag not in ("html", "body") and bool(parts & FURNITURE))
+            whole = tag in ("html", "body")
             weight = 2.0 if tag == "article" else 1.5 if tag == "main" else 1.3 if parts & ARTICLE else 1.0
-            path = above.path if tag in ("html", "body") else f"{above.path}/{tag}{'.' if classes else ''}{classes}"
-            found.append(Container(path, tag, stack[-1], out, weight))
+            step = f"{above.path}/{tag}{'.' if classes else ''}{classes}"
+            path = above.path if whole else xxhash.xxh64_hexdigest(step)  # paths of deep pages stay short
+            found.append(Container(path, tag, stack[-1], above.out or tag in LEFT_OUT, weight, not whole and (named or tag == "form")))
+            if by_readers and not whole:
+                readers.add(len(found) - 1)
             stack.append(len(found) - 1)
     flush()
-    return found
+    return settled(found, readers)
 
 
 def best_path(found: list[Container]) -> tuple[str, float]:

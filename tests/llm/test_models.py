@@ -173,6 +173,44 @@ def test_pages(spark):
     assert host_paths.extract(table.limit(0)).count() == 0
 
 
+ARTICLE = "<p>" + "This is the story text of the article with many words in it. " * 8 + "</p>"
+SIDE = "<div class='sidebar'><p>Side words here for all.</p></div>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><div class='layout has-sidebar'>{ARTICLE}{SIDE}</div></body>",
+    f"<body><div id='page-no-sidebar'>{ARTICLE}{SIDE}</div></body>",
+    f"<body><div class='elementor-widget-theme-post-content'>{ARTICLE}</div>{SIDE}</body>",
+    f"<body><form id='f'><div>{ARTICLE}{SIDE}</div></form></body>",
+    f"<body><div class='widget-area'><div class='x'>{ARTICLE}</div>{SIDE}</div></body>",
+    f"<body><div>{ARTICLE}</div><div class='cookie-notice'>{'We use cookies on this page. ' * 9}</div></body>",
+    f"<body><div>{ARTICLE}</div><div id='comments'><article>{ARTICLE * 30}</article></div></body>",
+    f"<body><button type=submit><div>{ARTICLE}</div>",
+    f"<body><div>{ARTICLE}</div><script>var x = '<p>no</p>'</SCRIPT >{SIDE}</body>"])
+def test_wrappers_named_like_furniture(page):
+    found = host_paths.read_page(page)
+    assert host_paths.text_at(found, host_paths.best_path(found)[0]) == " ".join(ARTICLE[3:-4].split())
+
+
+def test_pages_of_furniture_only_and_letters_that_grow():
+    for page in (f"<div class='sidebar'>{'short '*9}</div>", f"<nav>{ARTICLE}</nav>", f"<div id='comments'>{ARTICLE}</div>", f"<footer>{ARTICLE}</footer>"):
+        found = host_paths.read_page(page)
+        assert host_paths.text_at(found, host_paths.best_path(found)[0]) in (None, "")
+    found = host_paths.read_page("<p>" + "\u0130" * 30 + "</p><script>x</script><p>Start of the article text here</p>")
+    assert host_paths.text_at(found, "") == "\u0130" * 30 + "\n\nStart of the article text here"
+
+
+def test_open_cells_and_divisions_take_little_memory():
+    import tracemalloc
+    for page, most in (("<table>" + "<tr><td>cell text" * 20_000, 60e6), ("<div class='box'>x " * 4_000, 20e6)):
+        tracemalloc.start()
+        found = host_paths.read_page(page)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most and len(found) > 4_000
+    assert max(c.path.count("/") for c in found) == 0
+
+
 def test_host_vote_overrules_a_page(spark):
     body = "<body><div class='story'><p>{a}</p></div><div class='box'><p>{b}</p></div></body>"
     pages = [(i, "http://one.example/", body.format(a="long text " * 20, b="short")) for i in range(5)]
