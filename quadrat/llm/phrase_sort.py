@@ -5,9 +5,9 @@ sorted by multikey three-way quicksort: a segment is parted by one word into sma
 the equal part goes on to the next word, and its size is the count of the phrase read so far. A
 part with fewer than ``least`` suffixes is left at once, since no phrase in it can be frequent. Before that, suffixes are
 routed over all tasks by their leading words, and infrequent leading words end there: (1) words are counted;
-(2) pairs of frequent words are counted by a 64-bit code; (3) suffixes that begin with a frequent pair, cut before
-their first infrequent pair, are routed by their first three words, so a task sees all suffixes of
-a phrase of three words or more, and is sorted there. Pairs are counted where they are cut.
+(2) pairs of frequent words are counted by the codes of both; (3) suffixes of three words and more that begin with a
+frequent pair, cut before their first infrequent pair, are routed by their first three words, so a task sees all
+suffixes of a phrase of three words or more, which is sorted there.
 
 Scale. All three steps combine equal rows within a task before anything moves. What tasks are told about frequent words
 and pairs is a bitmap of at most ``2 ** BITS`` bits, whatever the corpus; codes that share a bit let through
@@ -138,7 +138,7 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 100_000) -> I
 
 
 _WORDS = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
-_PAIRS = pa.schema([("code", pa.int64()), ("n", pa.int64())])
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 _SUFFIXES = pa.schema([("lang", pa.string()), ("route", pa.int64()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
@@ -172,12 +172,13 @@ def _count_pairs(frequent: Bitmap):
         held, size = [], 0
 
         def flush():
-            code, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n)], schema=_PAIRS)
+            a, b = (np.concatenate(x) for x in zip(*held))
+            _, first, n = np.unique(joined(a, b), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(a[first].view(np.int64)), pa.array(b[first].view(np.int64)), pa.array(n)], schema=_PAIRS)
         for _, _, code in _coded(batches, frequent):
             both = (code[:-1] != 0) & (code[1:] != 0)
-            held.append(joined(code[:-1][both], code[1:][both]))
-            size += len(held[-1])
+            held.append((code[:-1][both], code[1:][both]))
+            size += len(held[-1][0])
             if size > 5_000_000:
                 yield flush()
                 held, size = [], 0
@@ -186,14 +187,20 @@ def _count_pairs(frequent: Bitmap):
     return run
 
 
+def _join_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (batch.column(c).to_numpy().view(np.uint64) for c in ("a", "b"))
+        yield pa.RecordBatch.from_arrays([pa.array(joined(a, b).view(np.int64))], ["code"])
+
+
 class _Held:
     """Counted suffixes of a task: equal ones are merged whenever those added since the last time outnumber the rest."""
 
     def __init__(self):
         self.parts, self.size, self.merged = [], 0, 0
 
-    def add(self, key, n, route, words, phrase) -> None:
-        self.parts.append((key, n, route, words, phrase))
+    def add(self, key, n, route, phrase) -> None:
+        self.parts.append((key, n, route, phrase))
         self.size += len(key)
         if self.size > 2 * self.merged + 200_000:
             self.merge()
@@ -207,13 +214,12 @@ class _Held:
     def rows(self, lang: str) -> Iterator[tuple]:
         if self.parts:
             self.merge()
-            _, n, route, words, phrase = self.parts[0]
-            for r, m, p, c in zip(route.tolist(), words.tolist(), phrase.tolist(), n.tolist()):
-                yield lang, None if m < ROUTE else r, p, c
+            _, n, route, phrase = self.parts[0]
+            yield from zip([lang] * len(n), route.tolist(), phrase.tolist(), n.tolist())
 
 
 def _cut_suffixes(frequent: Bitmap, pairs: Bitmap):
-    """Counted suffixes of frequent pairs: those of three words and more with their route, and the pairs (route null)."""
+    """Counted suffixes of ``ROUTE`` words and more that begin with a frequent pair, with their route."""
     def rows(batches):
         held: dict[str, _Held] = defaultdict(_Held)
         for lang, own, code in _coded(batches, frequent):
@@ -223,22 +229,18 @@ def _cut_suffixes(frequent: Bitmap, pairs: Bitmap):
             words = np.where(hot, 2, 1)  # words of the suffix: every pair in it is frequent
             for _ in range(DEPTH - 2):
                 words = np.where(hot, np.minimum(np.append(words[1:], 1) + 1, DEPTH), 1)
-            at = np.flatnonzero(hot)
+            at = np.flatnonzero(words >= ROUTE)
             name = route = code[at]
             for d in range(1, DEPTH):
                 more = words[at] > d
                 nxt = code[np.minimum(at + d, len(code) - 1)]
                 name = np.where(more, joined(name, nxt), name)
                 if d < ROUTE:
-                    route = np.where(more, joined(route, nxt), route)
-            long = words[at] >= ROUTE
-            # a pair and a longer suffix of the same words are two entries
-            for keys, of, length in ((pair[at], at, np.full(len(at), 2)), (name[long] ^ _U(1), at[long], words[at][long])):
-                key, first, n = np.unique(keys, return_index=True, return_counts=True)
-                where = of[first]
-                phrases = np.empty(len(first), object)
-                phrases[:] = [b" ".join(own[i:i + m]) for i, m in zip(where.tolist(), length[first].tolist())]
-                held[lang].add(key, n, route[np.searchsorted(at, where)].view(np.int64), length[first], phrases)
+                    route = joined(route, nxt)
+            key, first, n = np.unique(name, return_index=True, return_counts=True)
+            phrases = np.empty(len(first), object)
+            phrases[:] = [b" ".join(own[i:i + m]) for i, m in zip(at[first].tolist(), words[at[first]].tolist())]
+            held[lang].add(key, n, route[first].view(np.int64), phrases)
             if sum(h.size for h in held.values()) > 1_500_000:
                 for of, h in held.items():
                     yield from h.rows(of)
@@ -330,11 +332,14 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Da
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))
     often = words.where(F.col("f") >= least)
     frequent = bitmap(often.select(F.xxhash64("lang", "word").alias("code")))
-    pairs = texts.mapInArrow(_count_pairs(frequent), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    pairs = bitmap(settle(pairs.where(F.col("n") >= least).select("code"), "pairs"))
-    cut = settle(texts.mapInArrow(_cut_suffixes(frequent, pairs), "lang string, route long, phrase string, n long"), "suffixes")
-    twos = cut.where("route IS NULL").select("lang", "phrase", "n")
-    long = cut.where("route IS NOT NULL").repartition("lang", "route").sortWithinPartitions("lang", "route")
+    pairs = texts.mapInArrow(_count_pairs(frequent), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = settle(pairs.where(F.col("n") >= least), "pairs")
+    cut = texts.mapInArrow(_cut_suffixes(frequent, bitmap(pairs.mapInArrow(_join_codes, "code long"))),
+                           "lang string, route long, phrase string, n long")
+    known = often.select(F.xxhash64("lang", "word").alias("code"), "lang", "word")
+    of = lambda c: known.select(F.col("code").alias(c), F.col("word").alias("word_" + c), *(["lang"] if c == "a" else []))
+    twos = pairs.join(of("a"), "a").join(of("b"), "b").select("lang", F.concat_ws(" ", "word_a", "word_b").alias("phrase"), "n")
+    long = cut.repartition("lang", "route").sortWithinPartitions("lang", "route")
     more = long.mapInArrow(_sort_routed(least), "lang string, phrase string, n long")
     found = twos.unionByName(more).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     found = found.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "f")
