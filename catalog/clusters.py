@@ -39,6 +39,28 @@ def _(spark, sf):
     return coords
 
 
+def _full_rank(spark, sf):
+    """Coordinates on as many axes as the embeddings have components: distances must come back from them."""
+    width = table(spark, sf, "embeddings").select(F.max(F.size("embedding"))).head()[0]
+    coords, _ = ordination.pcoa(settle(distance.euclidean(embedding_cells(spark, sf)), "pairs"), k=width, correction="none")
+    return settle(coords.select(F.col("sample").cast("bigint").alias("sample"), "axis", "value"), "coords")
+
+
+@query("pcoa_distances_come_back", """SELECT x.vec_id AS a, y.vec_id AS b, round(list_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 5) AS d
+    FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id""")
+def _(spark, sf):
+    cells = _full_rank(spark, sf).select("sample", F.col("axis").alias("feature"), "value")
+    return rounded(distance.euclidean(cells), 5)
+
+
+@query("pcoa_centroid_distances", """WITH c AS (SELECT label, k, AVG(v) AS v FROM (SELECT label, unnest(range(len(embedding))) AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE label IS NOT NULL) GROUP BY 1, 2)
+    SELECT x.label AS a, y.label AS b, round(sqrt(SUM((x.v - y.v) * (x.v - y.v))), 5) AS d FROM c x JOIN c y ON x.k = y.k AND x.label < y.label GROUP BY 1, 2""")
+def _(spark, sf):
+    who = table(spark, sf, "embeddings").select(F.col("vec_id").alias("sample"), "label").where("label IS NOT NULL")
+    centres = ordination.centroids(_full_rank(spark, sf), who, "label")
+    return rounded(distance.euclidean(centres.select(F.col("label").alias("sample"), F.col("axis").alias("feature"), "value")), 5)
+
+
 _FULL = "1.4e0"  # weight of a point at the centre, 1 + 2 / nu
 _Q = "(({p}syy * dx * dx - 2 * {p}sxy * dx * dy + {p}sxx * dy * dy) / ({p}sxx * {p}syy - {p}sxy * {p}sxy))"
 

@@ -420,8 +420,14 @@ def _(spark, sf):
 
 @query("spread_members_and_back", "SELECT representative, CAST(ROW_NUMBER() OVER (PARTITION BY representative ORDER BY member) AS INT) AS no, member FROM clusters", ["clusters"])
 def _(spark, sf):
-    spread = clusters(spark, sf).groupBy("representative").agg(F.array_sort(F.collect_list("member")).alias("m"))
-    return spread.select("representative", F.posexplode("m").alias("no", "member")).withColumn("no", F.col("no") + 1)
+    # a column per member number, filled by number; only the numbers of the widest cluster reach the driver
+    rows = settle(numbered(clusters(spark, sf).select("representative", "member"), ["representative"], "member"), "members")
+    width = rows.agg(F.max("no")).head()[0] or 0
+    block = F.floor((F.col("no") - 1) / 100).cast("int")  # a hundred members in a row, however large the cluster
+    spread = rows.withColumns({"block": block, "place": ((F.col("no") - 1) % 100).cast("int")}).groupBy("representative", "block").agg(
+        *[F.max(F.when(F.col("place") == i, F.col("member"))).alias(f"m{i}") for i in range(min(width, 100))])
+    back = spread.unpivot(["representative", "block"], [f"m{i}" for i in range(min(width, 100))], "place", "member").where("member IS NOT NULL")
+    return back.select("representative", (F.col("block") * 100 + F.substring("place", 2, 3).cast("int") + 1).cast("int").alias("no"), "member")
 
 
 @query("split_to_rows_keep_null", "SELECT gene_id, feature, unnest(CASE WHEN subheader IS NULL THEN [NULL] ELSE string_split(subheader, ', ') END) AS term FROM (SELECT gene_id, feature, CASE WHEN gene_id = 'AA30' THEN NULL ELSE subheader END AS subheader FROM gene_counts)", ["gene_counts"])

@@ -134,3 +134,16 @@ def following_minimum(df: DataFrame, keys: Sequence[str], order: str, value: Col
     own = F.min("_value").over(onward(Window.partitionBy(*keys, "_bucket").orderBy(order, *ties)))
     return (rows.withColumn("_own", own).join(later, [*keys, "_bucket"])
             .withColumn(out, F.least("_own", "_later")).drop("_bucket", "_value", "_own", "_later"))
+
+
+def ordered_pairs(levels: DataFrame) -> DataFrame:
+    """``number, first, second`` of all pairs of ``label`` in order; the pairs of a level are numbered one after another.
+
+    A level's place in the order says how many pairs start with it, so each pair is an equi-join of the places.
+    """
+    placed = settle(levels.withColumn("_at", F.row_number().over(Window.orderBy("label"))), "levels")
+    count = placed.count()
+    heads = placed.withColumn("_to", F.explode(F.when(F.col("_at") < count, F.sequence(F.col("_at") + 1, F.lit(count)))))
+    number = (F.col("_at") - 1) * count - F.expr("_at * (_at - 1) / 2") + (F.col("_to") - F.col("_at")) - 1
+    return heads.join(placed.select(F.col("label").alias("second"), F.col("_at").alias("_to")), "_to").select(
+        number.cast("int").alias("number"), F.col("label").alias("first"), "second")

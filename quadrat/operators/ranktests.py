@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quadrat.functions.columns import ratio
 from quadrat.functions.special import chi2_tail, normal_tail
-from quadrat.operators.counts import following_minimum, midrank, positions
+from quadrat.operators.counts import following_minimum, midrank, ordered_pairs, positions
 from quadrat.operators.multitest import p_adjust
 from quadrat.storage import settle
 
@@ -124,16 +124,13 @@ def level_pairs(df: DataFrame, group: str, pairs="all", levels: Sequence[str] |
     if not isinstance(pairs, str):
         return spark.createDataFrame([tuple(p) for p in pairs], f"group1 {kind}, group2 {kind}")
     if levels is None:
-        known = df.filter(F.col(group).isNotNull()).agg(F.sort_array(F.collect_set(group)).alias("_l"))
-    else:
-        known = spark.createDataFrame([(list(levels),)], f"_l array<{kind}>")
-    if pairs == "all":
-        every = F.flatten(F.transform("_l", lambda x, i: F.transform(
-            F.slice("_l", i + 2, F.size("_l")), lambda y: F.struct(y.alias("group1"), x.alias("group2")))))
-    else:
-        every = F.transform(F.filter("_l", lambda x: x != F.lit(pairs)), lambda x: F.struct(
-            F.lit(pairs).cast(kind).alias("group1"), x.alias("group2")))
-    return known.select(F.inline(every))
+        known = df.filter(F.col(group).isNotNull()).select(F.col(group).alias("label")).distinct()
+        if pairs == "all":
+            return ordered_pairs(known).select(F.col("second").alias("group1"), F.col("first").alias("group2"))
+        return known.filter(F.col("label") != F.lit(pairs)).select(F.lit(pairs).cast(kind).alias("group1"), F.col("label").alias("group2"))
+    chosen = ([(y, x) for i, x in enumerate(levels) for y in levels[i + 1:]] if pairs == "all"
+              else [(pairs, x) for x in levels if x != pairs])
+    return spark.createDataFrame(chosen, f"group1 {kind}, group2 {kind}")
 
 
 def rank_sum(df: DataFrame, keys: Sequence[str], value: str, group: str, pairs="all",

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrat.functions.columns import ratio
-from quadrat.operators.counts import exact_median, exact_quantiles, value_counts
+from quadrat.operators.counts import exact_median, exact_quantiles, numbered, value_counts
+from quadrat.storage import settle
 
 
 def box_stats(df: DataFrame, keys: Sequence[str], value: str,
@@ -105,8 +106,16 @@ def order_by_statistic(df: DataFrame, category: str, statistic: Column,
                        descending: bool = False) -> DataFrame:
     """Categories with their position by a statistic: ``category, statistic, position``.
 
-    The position counts categories, a table of the size of the axis of a figure.
+    Equal statistics share a position. The distinct ones are numbered within buckets of their value
+    (``counts.numbered``), not in one window; missing ones come first in ascending order and last in descending order.
     """
-    table = df.groupBy(category).agg(statistic.alias("statistic"))
-    order = F.col("statistic").desc() if descending else F.col("statistic").asc()
-    return table.withColumn("position", F.dense_rank().over(Window.orderBy(order)))
+    table = settle(df.groupBy(category).agg(statistic.alias("statistic")), "statistics")
+    value = F.col("statistic").cast("double")
+    known = table.where("statistic IS NOT NULL").select((-value if descending else value).alias("_key")).distinct()
+    places = numbered(known, [], "_key", out="position")
+    missing = table.where("statistic IS NULL")
+    before = F.lit(1 if not descending and missing.head(1) else 0)
+    placed = table.withColumn("_key", -value if descending else value).join(places, "_key").select(
+        category, "statistic", (F.col("position") + before).cast("int").alias("position"))
+    last = F.lit(known.count() + 1 if descending else 1)
+    return placed.unionByName(missing.select(category, "statistic", last.alias("position")))
