@@ -361,8 +361,10 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = found.groupBy("doc", "h1").agg(F.collect_list(F.struct("key", "at", "windows")).alias("found"))
     active = settle(texts.join(found, ["doc", "h1"]).drop("h2"), "active")
     windows = settle(active.mapInArrow(_window_names, "doc long, h1 long, key long, name long, at int"), "windows")
+    # written first: then both sides of the join arrive by a shuffle of their own, and adaptive execution can split a hot window
     least = windows.groupBy("key", "name").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    marks = (windows.join(least.drop("most"), ["key", "name"]).where("least < doc")
+    least = settle(least.drop("most"), "least")
+    marks = (windows.join(least, ["key", "name"]).where("least < doc")
              .groupBy("doc", "h1").agg(F.collect_set("at").alias("starts")))
     return parsed.drop("runs"), active.drop("found").join(marks, ["doc", "h1"])
 
