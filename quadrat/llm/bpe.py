@@ -24,6 +24,7 @@ import heapq
 import json
 import re
 import struct
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,8 +38,10 @@ from quadrat.llm.common import map_rows, schema_of, texts
 #: Pieces whose ids a task remembers; it starts anew beyond.
 REMEMBERED = 200_000
 PIECES_REMEMBERED = 500_000
-#: Bytes of a half that is not halved again.
-LEAF = 12
+#: Characters of texts whose new pieces are encoded together.
+CHUNK = 400_000
+#: Bytes of a half that is not halved again; at up to 24, merging in place is faster than joining halves.
+LEAF = 24
 #: Above every rank.
 NEVER = 1 << 60
 
@@ -125,6 +128,12 @@ class TreeCodec:
         self.token = {i: b for b, i in rank.items()}
         self._merged = merge_table(rank)
         self._byte = [rank.get(bytes([b]), -1) for b in range(256)]
+        #: Id of the token that two bytes make, by the first, then the second.
+        self._two = [[rank.get(bytes([a, b]), NEVER) for b in range(256)] for a in range(256)]
+        self._bytes, self._twos = np.array(self._byte, np.int64), np.array(self._two, np.int64)
+        keys = sorted(self._merged)
+        self._pairs = np.array([*keys, NEVER], np.int64)
+        self._made = np.array([*map(self._merged.__getitem__, keys), NEVER], np.int64)
         self._seams: dict[tuple[int, ...], tuple[int, ...]] = {}
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
@@ -140,9 +149,9 @@ class TreeCodec:
 
     def _leaf(self, piece: bytes) -> tuple[int, ...]:
         """``merge_bytes`` of a short half, over ids: a token's id is its rank."""
-        get = self._merged.get
-        ids = [self._byte[b] for b in piece]
-        pair = [get((x << 20) + y, NEVER) for x, y in zip(ids, ids[1:])]
+        get, two, byte = self._merged.get, self._two, self._byte
+        ids = [byte[b] for b in piece]
+        pair = [two[a][b] for a, b in zip(piece, piece[1:])]
         while pair and (low := min(pair)) != NEVER:
             i = pair.index(low)
             ids[i] = low
@@ -153,6 +162,60 @@ class TreeCodec:
                 pair[i - 1] = get((ids[i - 1] << 20) + low, NEVER)
         return tuple(ids)
 
+    def _leaves(self, pieces: list[bytes]) -> list[bytes]:
+        """``_leaf`` of many halves at once, each of two bytes or more; little-endian 32-bit ids."""
+        out: list[bytes] = [b""] * len(pieces)
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        width = int(length.max())
+        raw = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), np.uint8).reshape(-1, width)
+        column = np.arange(width)
+        ids = np.where(column < length[:, None], self._bytes[raw], -1)  # no pair has a part of -1
+        pair = np.where(column[1:] < length[:, None], self._twos[raw[:, :-1], raw[:, 1:]], NEVER)
+        who = np.arange(len(pieces))
+        while True:
+            at = pair.argmin(axis=1) if width > 1 else np.zeros(len(who), np.int64)
+            low = pair[np.arange(len(who)), at] if width > 1 else np.full(len(who), NEVER)
+            done = np.flatnonzero(low == NEVER)
+            if len(done):
+                packed, ends = ids[done].astype("<u4").tobytes(), (4 * (ids[done] >= 0).sum(axis=1)).tolist()
+                for k, (i, n) in enumerate(zip(who[done].tolist(), ends)):
+                    out[i] = packed[4 * width * k:4 * width * k + n]
+                left = np.flatnonzero(low != NEVER)
+                if not len(left):
+                    return out
+                who, at, low, ids, pair = who[left], at[left], low[left], ids[left], pair[left]
+            # every row loses one part and one pair a round, so all stay of one width
+            row = np.arange(len(who))
+            ids[row, at] = low
+            ids = ids[column[:width] != at[:, None] + 1].reshape(len(who), width - 1)
+            pair = pair[column[:width - 1] != at[:, None]].reshape(len(who), width - 2)
+            width -= 1
+            for side in (0, 1):  # the pair the new part begins, and the one it ends
+                there = np.flatnonzero(at < width - 1 if side == 0 else at > 0)
+                first = at[there] - side
+                x, y = ids[there, first], ids[there, first + 1]
+                key = (x << 20) + y
+                found = np.searchsorted(self._pairs, key)
+                pair[there, first] = np.where((self._pairs[found] == key) & (y >= 0), self._made[found], NEVER)
+
+    def encode_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of every piece; those that are leaves go together, the short and the long ones."""
+        out: list[bytes] = [b""] * len(pieces)
+        leaves: tuple[list[int], ...] = ([], [], [])
+        together = min(self._byte) >= 0
+        for i, piece in enumerate(pieces):
+            n = len(piece)
+            if together and 1 < n <= LEAF and piece not in self.rank:
+                leaves[(n > LEAF // 3) + (n > LEAF // 2)].append(i)
+            else:
+                ids = self.encode(piece)
+                out[i] = struct.pack(f"<{len(ids)}I", *ids)
+        for places in leaves:
+            if places:
+                for i, packed in zip(places, self._leaves([pieces[i] for i in places])):
+                    out[i] = packed
+        return out
+
     def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         if not left or not right:
             return left + right
@@ -196,10 +259,11 @@ _NOT_PLAIN = re.compile(rf"[^ \t-\r!-~{_LATIN}]")
 class Pieces:
     """Pieces of text and their ids as little-endian 32-bit numbers, remembered."""
 
-    def __init__(self, pattern: str, ids_of):
+    def __init__(self, pattern: str, ids_of, all_of=None):
         self.general = regex.compile(pattern).findall
         self.usual = pattern == USUAL
         self.ids_of = ids_of
+        self.all_of = all_of
         self.known: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
@@ -223,11 +287,43 @@ class Pieces:
         return b"".join(found)
 
 
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """``encode`` of every text; the new pieces of texts of together about ``CHUNK`` characters are encoded at once."""
+        chunk: list[str] = []
+        size = 0
+        for text in texts:
+            chunk.append(text)
+            size += len(text)
+            if size >= CHUNK:
+                yield from self._chunk(chunk)
+                chunk, size = [], 0
+        yield from self._chunk(chunk)
+
+    def _chunk(self, texts: list[str]) -> Iterator[bytes]:
+        known = self.known
+        if len(known) >= PIECES_REMEMBERED:
+            known.clear()
+        held, new = [], set()
+        for text in texts:
+            found = list(map(known.get, pieces := self.split(text)))
+            gaps = []
+            if None in found:
+                gaps = [(i, pieces[i]) for i, packed in enumerate(found) if packed is None]
+                new.update([piece for _, piece in gaps])
+            held.append((found, gaps))
+        new = list(new)
+        known.update(zip(new, self.all_of([p.encode() for p in new])))
+        for found, gaps in held:
+            for i, piece in gaps:
+                found[i] = known[piece]
+            yield b"".join(found)
+
+
 @lru_cache(maxsize=2)
 def codec(data: bytes, pattern: str) -> tuple[TreeCodec, Pieces]:
     """One codec per worker process and vocabulary."""
     tree = TreeCodec(parse_tokenizer(data) if data.lstrip()[:1] == b"{" else parse_ranks(data))
-    return tree, Pieces(pattern, lambda piece: tree.encode(piece.encode()))
+    return tree, Pieces(pattern, lambda piece: tree.encode(piece.encode()), tree.encode_all)
 
 
 def vocabulary(spark, path: str):
@@ -248,8 +344,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         pieces = codec(data.value, pattern)[1]
 
         def rows(batch):
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                yield doc, np.frombuffer(pieces.encode(as_text(text)), "<u4").astype(np.int32)
+            for doc, packed in zip(batch["doc_id"], pieces.encode_all(map(as_text, batch["text"]))):
+                yield doc, np.frombuffer(packed, "<u4").astype(np.int32)
         return rows
     return map_rows(texts(docs), schema_of(docs, "doc_id", ids=T.ArrayType(T.IntegerType())), make)
 
@@ -277,8 +373,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         tree, pieces = codec(data.value, pattern)
 
         def rows(batch):
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                packed = pieces.encode(as_text(text))
+            for doc, packed in zip(batch["doc_id"], pieces.encode_all(map(as_text, batch["text"]))):
                 decoded = tree.decode(np.frombuffer(packed, "<u4").tolist())
                 yield (doc, len(packed) // 4, hashlib.sha256(packed).hexdigest(),
                        hashlib.sha256(decoded).hexdigest())
@@ -293,6 +388,6 @@ def lengths(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def make():
         pieces = codec(data.value, pattern)[1]
-        return lambda batch: ((doc, len(pieces.encode(as_text(text))) // 4)
-                              for doc, text in zip(batch["doc_id"], batch["text"]))
+        return lambda batch: ((doc, len(packed) // 4) for doc, packed in zip(
+            batch["doc_id"], pieces.encode_all(map(as_text, batch["text"]))))
     return map_rows(texts(docs), schema_of(docs, "doc_id", n_tokens=T.LongType()), make)

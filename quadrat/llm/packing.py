@@ -55,8 +55,8 @@ def pieces(docs: DataFrame, path: str, pattern: str, end_id: int, room: int) ->
         known, count, task = codec(data.value, pattern)[1], Counter(), TaskContext.get().partitionId()
 
         def rows(batch):
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                packed = known.encode(as_text(text)) + end
+            for doc, packed in zip(batch["doc_id"], known.encode_all(map(as_text, batch["text"]))):
+                packed += end
                 for i, (start, n) in enumerate(cut(len(packed) // 4, room)):
                     yield doc, i, start, n, zlib.crc32(packed[4 * start:4 * (start + n)]), task, count[n]
                     count[n] += 1

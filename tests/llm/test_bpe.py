@@ -59,6 +59,19 @@ def frame(spark, rows):
                                  "doc_id long, text string, lang string, ids string, n_tokens string")
 
 
+def test_pieces_encoded_together():
+    rank = bpe.parse_ranks(open(RANKS, "rb").read())
+    tree = bpe.TreeCodec(rank)
+    draw = np.random.default_rng(5)
+    pieces = [bytes(draw.integers(97, 105, n).tolist()) for n in (*range(1, 60), *[9] * 40, *[24] * 40)]
+    pieces += [bytes(draw.integers(0, 256, n).tolist()) for n in range(1, 40)] + [b" the", b"\0\0\0"]
+    expected = [(rank[p],) if p in rank else bpe.merge_bytes(p, rank) for p in pieces]
+    assert [np.frombuffer(b, "<u4").tolist() for b in tree.encode_all(pieces)] == list(map(list, expected))
+    parts = bpe.Pieces(P.PATTERN, lambda p: tree.encode(p.encode()), tree.encode_all)
+    texts = ["", "one two two", "three " * 90_000, "one \u00e9t\u00e9 \u4e2d\u6587 two", ""]
+    assert list(parts.encode_all(texts)) == list(map(parts.encode, texts))
+
+
 def test_digests_and_round_trip(spark, library):
     docs = frame(spark, HARD + HARD[:3])
     got = {r.doc_id: r for r in bpe.digests(docs, RANKS, P.PATTERN).collect()}
