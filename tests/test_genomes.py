@@ -176,6 +176,18 @@ def test_fasta(spark, tmp_path):
     assert got == [("g1", "c1", "ACGTAC"), ("g1", "c2", "TT"), ("g2", "only", "GGG")]
 
 
+def test_many_genomes_take_few_files(spark, tmp_path):
+    rows = [(f"g{i} 100%+=#", "c1", "ACGT" * 40) for i in range(300)] + [("g0 100%+=#", "c2 x", "TTT"), ("e", "c", "")]
+    seqs = spark.createDataFrame([*rows, (None, "c", "GG"), ("n", "c", None)], "genome string, contig string, seq string").coalesce(4)
+    want = sorted([*((g, c.split()[0], s) for g, c, s in rows), ("__HIVE_DEFAULT_PARTITION__", "c", "GG"), ("n", "", "")])
+    fasta.write_fasta(seqs, str(tmp_path / "many"))
+    assert sorted(map(tuple, fasta.read_fasta(spark, str(tmp_path / "many"), "txt").collect())) == want
+    assert len(list((tmp_path / "many").rglob("*.txt"))) <= 4
+    fasta.write_fasta(seqs.filter("genome like 'g1%'"), str(tmp_path / "folders"), folders=True)
+    got = fasta.read_fasta(spark, str(tmp_path / "folders"), "txt").collect()
+    assert sorted(map(tuple, got)) == [r for r in want if r[0].startswith("g1")]
+
+
 def test_workbook_with_shared_strings_and_gaps(spark, tmp_path):
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
