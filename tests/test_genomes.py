@@ -63,6 +63,17 @@ def test_dereplication_equals_the_sequential_greedy(spark, seed, shared, preclus
     assert {r.member: r.representative for r in got} == greedy(texts, quality, 3, 0.9)
 
 
+def test_later_rounds_read_the_undecided_only(spark, monkeypatch):
+    chain = [" ".join(f"w{j}" for j in range(i, i + 40)) for i in range(12)]  # each is like the next few only
+    far = [" ".join(f"x{i}y{j}" for j in range(40)) for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(chain + far)), "id int, text string")
+    quality, read, verify = df.select("id", F.lit(1).alias("quality")), [], dereplicate.verify
+    monkeypatch.setattr(dereplicate, "verify", lambda pairs, tokens, *more: read.append(tokens.count()) or verify(pairs, tokens, *more))
+    got = dereplicate.dereplicate(similarity.item_tokens(df, "id", "text", 3), quality, 3, 90.0, None).collect()
+    assert {r.member: r.representative for r in got} == greedy(dict(enumerate(chain + far)), dict.fromkeys(range(42), 1), 3, 0.9)
+    assert len(read) > 2 and read[-2] < read[0] == read[-1] < 38 * 42  # the last one assigns items to representatives
+
+
 def test_similarity_to_representatives(spark):
     texts = corpus(3, True)
     df = spark.createDataFrame(list(texts.items()), "id int, text string")
