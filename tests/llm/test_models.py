@@ -44,6 +44,26 @@ def test_language_model_is_a_distribution(spark):
     assert 10 ** score[999] + sum(10 ** score[i] for i, _ in asked) < 1
 
 
+def test_rare_words_are_classed_by_their_neighbours(spark, monkeypatch):
+    """Words beyond the most frequent share an ending; only what stands around them tells two kinds apart."""
+    monkeypatch.setattr(brown_lm, "HEAD", 6)
+    kinds = [("red", "a", "fox", "barks"), ("blue", "b", "wren", "sings")]
+    data = [(100 * k + i, f"{before} {often if i % 3 == 0 else f'{name}{i % 20:02d}qqq'} {after}")
+            for k, (before, name, often, after) in enumerate(kinds) for i in range(60)]
+    asked = [(1_000, "red a07qqq barks"), (1_001, "red b07qqq barks"), (1_002, "blue b07qqq sings"), (1_003, "blue a07qqq sings")]
+    got = {r.doc_id: r for r in brown_lm.score(frame(spark, data + asked), F.col("doc_id") < 1_000).collect()}
+    assert all(got[i].n_known == 4 for i, _ in asked)
+    assert got[1_000].score > got[1_001].score + 1 and got[1_002].score > got[1_003].score + 1
+
+
+def test_best_class_takes_the_word_out_of_its_own():
+    """The step is the exchange criterion: nothing is gained by staying with one's own counts alone."""
+    table = np.zeros((4, 4))
+    table[1, 2], table[2, 1], table[1, 3], table[3, 1], table[0, 1], table[1, 0] = 50, 50, 4, 4, 9, 9
+    before = after = np.array([[0, 4, 0, 0], [0, 0, 0, 0]], float)  # all of class 3 is this word
+    assert brown_lm.best_classes(before, after, np.array([3, 3]), table).tolist() == [2, 3]
+
+
 def test_exchange_finds_the_blocks():
     rng = np.random.default_rng(1)
     pairs = np.zeros((21, 21), np.int64)
