@@ -18,6 +18,9 @@ from quadrat.storage import settle
 TOXIC_FROM = 0.7
 
 
+#: Bytes of a batch sent to Python: each task holds one in the executor, one in the worker, next to a full heap.
+BATCH_BYTES = 8 << 20
+
 #: One column with a document's own columns, whatever their names.
 ROW = "_row"
 
@@ -28,6 +31,11 @@ def with_row(docs: DataFrame, *without: str) -> DataFrame:
     return docs.select("doc_id", "text", "lang", F.struct(*own).alias(ROW))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on batches for Python hold ``BATCH_BYTES``, as rows here are whole documents."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are near enough to their language."""
     return divergence_rules.judge(with_row(docs), ROW).where("kept").select(f"{ROW}.*")
@@ -35,6 +43,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the limit by a model of the labelled learning rows among them."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     learn = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1
     scored = pu_toxicity.score(with_row(docs), pu_toxicity.fit(docs, labels, learn), ROW)
@@ -43,11 +52,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies: three-word shingles, at most two bits apart."""
+    small_batches(spark)
     return gray_simhash.one_of_each_group(docs, shingle_words=3, distance=2)
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the passages that an earlier one has, too; n_chars follows the text."""
+    small_batches(spark)
     cut = suffix_dedup.remove_repeats(with_row(docs, "text"), ROW)
     new = {"text": F.col("rest_text")}
     if "n_chars" in docs.columns:
@@ -57,6 +68,7 @@ def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 

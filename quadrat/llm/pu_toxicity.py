@@ -28,9 +28,10 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +44,8 @@ HEADS = (4, 5, 6, 7)
 #: ASCII punctuation separates words, too.
 PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in LOWER)
 REMEMBERED = 200_000
+#: Texts counted at once.
+SLICE = 512
 STEPS, RATE, DECAY = 400, 0.05, 1e-3
 #: Probability that chance alone makes any feature.
 LEVEL = 0.01
@@ -61,6 +64,22 @@ def text_features(text: bytes) -> set[int]:
     return {f for w in text_words(text) for f in word_features(w)}
 
 
+def count_features(batches):
+    """code, and how many positive and unlabelled texts of a slice have it.
+
+    A slice is counted in arrays, as counters and rows of its features take several times the memory.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE).to_pydict()
+            for positive in (0, 1):
+                own = (text_features(t) for t, p in zip(part["text"], part["positive"]) if p == positive)
+                code, n = np.unique(np.fromiter(chain.from_iterable(own), np.int64), return_counts=True)
+                none = np.zeros(len(n), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(code), *map(pa.array, (n, none) if positive else (none, n))],
+                                                 ["code", "p", "u"])
+
+
 class Marks(dict):
     """Word to the numbers of its chosen features, found when first asked for."""
 
@@ -138,15 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, prior: float | None = None, p
     sample = settle(texts(docs).join(F.broadcast(drawn), "doc_id").groupBy(F.sha2("text", 256), "positive").agg(
         F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")).select("text", "positive", "copies"), "sample")
 
-    def count_features():
-        def count(batch):
-            p, u = Counter(), Counter()
-            for text, positive in zip(batch["text"], batch["positive"]):
-                (p if positive else u).update(text_features(text))
-            return [(f, n, u[f]) for f, n in p.items()] + [(f, 0, n) for f, n in u.items() if f not in p]
-        return count
-    counts = map_rows(sample, T.StructType([T.StructField(c, T.LongType()) for c in ("code", "p", "u")]),
-                      count_features, 2_000)
+    counts = sample.mapInArrow(count_features, "code long, p long, u long")
     counts = counts.groupBy("code").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     seen = {r.positive: r for r in sample.groupBy("positive").agg(
         F.count(F.lit(1)).alias("n"), F.sum("copies").alias("rows")).collect()}

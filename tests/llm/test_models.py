@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,25 @@ def toxic_rows():
     return docs, labels
 
 
+def test_features_are_counted_in_slices(spark):
+    """Counts of features over slices add up to those of all texts; a slice gives two rows a feature at most."""
+    sample = [(b"red fox", 1), (b"red red dog", 0), (b"", 0), (b"fox", 1)] * 400
+    frame_ = spark.createDataFrame([(bytearray(t), p) for t, p in sample], "text binary, positive int").coalesce(1)
+    got = frame_.mapInArrow(pu_toxicity.count_features, "code long, p long, u long").groupBy("code").sum("p", "u").collect()
+    want = {f: [sum(p == k for t, p in sample if f in pu_toxicity.text_features(t)) for k in (1, 0)]
+            for t, _ in sample for f in pu_toxicity.text_features(t)}
+    assert {r.code: [r[1], r[2]] for r in got} == want
+
+
+def test_pipeline_sends_small_batches(spark, tmp_path):
+    docs, labels = toxic_rows()
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    corpus_pipeline.toxicity(spark, frame(spark, [(i, t * 40) for i, t in docs]).coalesce(1), str(tmp_path)).count()
+    size = spark.range(4_000, numPartitions=1).select(F.repeat(F.lit("x"), 20_000).alias("text")).mapInArrow(
+        lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long")
+    assert max(r.n for r in size.collect()) <= 2 * corpus_pipeline.BATCH_BYTES
+
+
 def test_toxicity(spark):
     docs, labels = toxic_rows()
     table = spark.createDataFrame(labels + [(7, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
