@@ -131,6 +131,26 @@ def test_suffix_order_small_slices(monkeypatch):
             assert lcp == min(9, next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))))
 
 
+def test_windows_are_compared_once(monkeypatch):
+    rng = random.Random(13)
+    base = bytes(rng.choices(b"abcd ", k=400))
+    texts = [bytes(rng.choices(b"xyz", k=9)) + base[i:i + 90] for i in range(0, 300, 3)] + [b"", b"short", base[:9]]
+    first = np.array(rng.sample(range(1000), len(texts)))
+    windows = [[t[k:k + 9] for k in range(len(t) - 8)] for t in texts]
+    least = {}
+    for i, own in zip(first.tolist(), windows):
+        least.update({w: min(i, least.get(w, i)) for w in own})
+    compared, common = [], column_bwt.Collection.common
+    monkeypatch.setattr(column_bwt.Collection, "common", lambda self, a, b, n: compared.append(len(a)) or common(self, a, b, n))
+    for size in (7, 1 << 17):
+        monkeypatch.setattr(column_bwt, "SLICE", size)
+        compared.clear()
+        got = column_bwt.earliest(texts, first, 9)
+        assert [g.tolist() for g in got] == [[least[w] for w in own] for own in windows]
+        assert sum(compared) < sum(map(len, windows))  # not all suffixes, and not again in every round
+    assert [g.tolist() for g in column_bwt.earliest([b"", b"ab"], np.array([1, 2]), 9)] == [[], []]
+
+
 def test_i_match(spark):
     data = rows()
     docs = frame(spark, data)
