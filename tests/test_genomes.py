@@ -74,6 +74,55 @@ def test_later_rounds_read_the_undecided_only(spark, monkeypatch):
     assert len(read) > 2 and read[-2] < read[0] == read[-1] < 38 * 42  # the last one assigns items to representatives
 
 
+@pytest.mark.parametrize("most", [7, 500])
+def test_preclusters_that_fit_are_decided_in_a_task(spark, monkeypatch, most):
+    texts = corpus(4, False)
+    chain = [" ".join(f"w{j}" for j in range(i, i + 40)) for i in range(8)]
+    texts = {**texts, **dict(enumerate(chain, 1_000))}
+    quality, rounds, verify = {i: (i * 37) % 50 for i in texts}, [], dereplicate.verify
+    monkeypatch.setattr(dereplicate, "PART_ITEMS", most)
+    monkeypatch.setattr(dereplicate, "verify", lambda pairs, *more: rounds.append(pairs.count()) or verify(pairs, *more))
+    df = spark.createDataFrame(list(texts.items()), "id int, text string")
+    ranks = spark.createDataFrame(list(quality.items()), "id int, quality int")
+    got = dereplicate.dereplicate(similarity.item_sets(df, "id", "text", 3), ranks, 3, 90.0, 80.0).collect()
+    assert {r.member: r.representative for r in got} == greedy(texts, quality, 3, 0.9)
+    sets = {i: words(t, 3) for i, t in texts.items()}
+    assert all(r.similarity == pytest.approx(ident(sets[r.member], sets[r.representative], 3)) for r in got)
+    assert (sum(rounds) == 0) == (most == 500)  # all in one job, or rounds for the chain
+
+
+def test_packed_sets(spark):
+    """The same sets as in rows, without an exchange of tokens; ids that come twice have one set."""
+    texts = [(i, t) for i, t in corpus(5, True).items()] + [(3, "more words of an item that comes twice"), (4, None), (None, "no id")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    rows = similarity.item_tokens(df, "id", "text", 3).where("id IS NOT NULL").distinct()
+    want = sorted(map(tuple, rows.collect()))
+    for packed in (similarity.item_sets(df, "id", "text", 3), sketches.packed(rows)):
+        assert packed.count() == packed.select("id").distinct().count() == len(texts) - 3
+        assert sorted(map(tuple, sketches.unpacked(packed).collect())) == want
+    one = similarity.item_sets(df.where("id > 4"), "id", "text", 3)
+    for table in (one, sketches.summaries(one, 3, 64)):
+        assert "Exchange" not in table._jdf.queryExecution().executedPlan().toString()
+    equal = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "a b c e")], "id int, text string")
+    found = {r.id: (r.sig, tuple(r["keys"])) for r in sketches.summaries(similarity.item_sets(equal, "id", "text", 3), 3, 64).collect()}
+    assert found[1] == found[2] and found[1][0] != found[3][0] and len(found[1][1]) == 21
+    kept = {r.id for r in sketches.may_hold(one, spark.createDataFrame([(7,), (9,), (9_999,)], "id int")).collect()}
+    assert {7, 9} <= kept and len(kept) < one.count()
+
+
+def test_similarity_of_packed_sets(spark, monkeypatch):
+    monkeypatch.setattr(sketches, "PAIRS", 40)  # groups are dealt to several tasks
+    texts = corpus(6, False)
+    df = spark.createDataFrame(list(texts.items()), "id int, text string")
+    reps = spark.createDataFrame([(i,) for i in [*texts, 5_000] if i % 4 == 0], "id int")
+    parts = {i: words(t, 3) for i, t in texts.items()}
+    want = {(r, i): ident(parts[r], parts[i], 3) for r in texts if r % 4 == 0 for i in texts if i != r}
+    want = {k: pytest.approx(v) for k, v in want.items() if v >= 0.85}
+    for sketch in (None, 512):
+        got = similarity.similarity_to(reps, similarity.item_sets(df, "id", "text", 3), 3, 0.85, sketch).collect()
+        assert {(r.rep, r.id): r.similarity for r in got} == want and len(got) == len(want)
+
+
 def test_similarity_to_representatives(spark):
     texts = corpus(3, True)
     df = spark.createDataFrame(list(texts.items()), "id int, text string")
